@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, decontam, packing, quality, rules, url_graph
+from stackloom.llm import chat, decontam, line_dedup, packing, quality, rules, suffix_dedup, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def tokenizer_json() -> str:
     return packing.read_tokenizer(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -38,6 +42,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(_read(spark, sf_dir, "documents"))
 
@@ -46,12 +55,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op7_quality_rules, op8_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters)}
 
 
 _CHAT_SQL = r"""
