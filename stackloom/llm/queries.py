@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, decontam, line_dedup, packing, quality, rules, suffix_dedup, toxicity, url_graph
+from stackloom.llm import chat, decontam, line_dedup, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -64,7 +68,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters)}
 
 
 _CHAT_SQL = r"""
