@@ -59,8 +59,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(host, score): personalised PageRank of seeds (host, n) over links (src, dst, n)."""
-    total = seeds.agg(F.sum("n").alias("t"))
-    start = seeds.groupBy("host").agg(F.sum("n").alias("n")).join(F.broadcast(total)).select("host", F.floor(F.col("n") / F.col("t") * UNIT).cast("bigint").alias("seed"))
+    total = seeds.agg(F.sum("n")).first()[0] or 1
+    start = seeds.groupBy("host").agg(F.sum("n").alias("n")).select("host", F.floor(F.col("n") / F.lit(total) * UNIT).cast("bigint").alias("seed"))
     start = cut(start)
     outs = links.groupBy("src").agg(F.sum("n").alias("out"))
     shares = cut(links.join(outs, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("part")))
