@@ -1,0 +1 @@
+"""Steps, their text form, and pipelines of them."""
