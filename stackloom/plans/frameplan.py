@@ -22,17 +22,20 @@ log = logging.getLogger(__name__)
 def _one_by_one(function: Callable, data: np.ndarray, params: dict, kind: type) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(data.shape, kind)
     ok = np.zeros(len(data), bool)
+    why: Exception | None = None
     for i, frame in enumerate(data):
         for kw in (params, {}):
             try:
                 out[i] = function(frame, **kw)
                 ok[i] = True
                 break
-            except TypeError as e:
-                log.warning("a step runs without its parameters: %s", e)
+            except TypeError as e:  # once more without any parameter
+                why = e
             except Exception as e:
-                log.error("a frame stays as it is: %s", e)
+                why = e
                 break
+    if why is not None:
+        log.error("%d of %d frames stay as they are or ran without parameters; the last reason: %s", int((~ok).sum()), len(ok), why)
     return out, ok
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stackloom import model
 from stackloom.functions import display, timestamps, units
 from stackloom.model import FRAME_KEY
-from stackloom.operators import filters, masks
+from stackloom.operators import filters
 from stackloom.plans.frameplan import run_frames
 from stackloom.plans.pixelplan import PixelState, apply_step, run_pixels, spread
 from stackloom.plans.registry import Step, register_filter
@@ -140,18 +140,10 @@ def unit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = events_raster(spark, sf_dir).groupBy(*FRAME_KEY)
-    r = lambda c: F.round(c, 4) + 0.0
+    r = lambda c: F.round(c, 6) + 0.0
     return g.agg(r(F.avg("z")).alias("mean"), r(F.stddev_pop("z")).alias("std"), r(F.median("z")).alias("median"), r(F.min("z")).alias("low"), r(F.max("z")).alias("high"), F.count_if(F.col("z") != 0).alias("nonzero"))
 
 
-def _masked(threshold: float = 0.0) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, m = masks.threshold_above(emb(spark, sf_dir), threshold)
-        return rows.withColumn("mask", m)
-
-    return run
-
-
 def normalize_uint8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.grey(emb(spark, sf_dir)).select(*FRAME_KEY, "y", "x", "g")
 
@@ -229,7 +221,7 @@ _NAMED: dict[str, Query] = {
     "gaussian_filter_s1": _steps("gaussian_filter:sigma=1.0"),
     "gaussian_filter_s2": _steps("gaussian_filter:sigma=2.0"),
     "pipeline_quickstart": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 5),
-    "pipeline_events": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 3, events_raster, (EV_H, EV_W)),
+    "pipeline_events": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 6, events_raster, (EV_H, EV_W)),
 }
 _PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_frames, pipeline_lineitem, user_filter, wrong_parameters]
 
@@ -366,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "standardize_units": f"WITH {_to_nm(_EV)} SELECT {_PX}, {_r('z', 4)} AS z FROM nm",
         "convert_units": c().z("z * 1000").sql(3),
         "unit_policies": f"WITH {_to_nm(_EMB)} SELECT k AS policy, stack_id, round(max(CASE k WHEN 'declared_pm' THEN px.z * 1e-3 WHEN 'volts' THEN px.z WHEN 'PH' THEN px.z ELSE nm.z END), 5) AS top FROM px JOIN nm USING (stack_id, frame_idx, y, x), (VALUES ('declared_pm'), ('volts'), ('unknown'), ('TP'), ('PH')) t(k) GROUP BY ALL",
-        "frame_stats": f"WITH {_EV} SELECT stack_id, frame_idx, {_r('avg(z)', 4)} AS mean, {_r('stddev_pop(z)', 4)} AS std, {_r('median(z)', 4)} AS median, {_r('min(z)', 4)} AS low, {_r('max(z)', 4)} AS high, count(*) FILTER (z <> 0) AS nonzero FROM px GROUP BY ALL",
+        "frame_stats": f"WITH {_EV} SELECT stack_id, frame_idx, {_r('avg(z)', 6)} AS mean, {_r('stddev_pop(z)', 6)} AS std, {_r('median(z)', 6)} AS median, {_r('min(z)', 6)} AS low, {_r('max(z)', 6)} AS high, count(*) FILTER (z <> 0) AS nonzero FROM px GROUP BY ALL",
         "normalize_uint8": _simple(f"{_PX}, CAST({_GREY} AS INTEGER) AS g"),
         "pad_square": f"WITH {_EV}, {_SQUARE.format(border='-1.0')} SELECT {_PX}, {_r('z', 4)} AS z FROM sq",
         "colormap": f"WITH {_EMB} SELECT {_PX}, {_HEAT} FROM (SELECT *, {_GREY} AS g FROM px)",
@@ -399,5 +391,5 @@ def oracle_sql() -> dict[str, str]:
         "gaussian_filter_s1": _gauss_sql(1.0),
         "gaussian_filter_s2": _gauss_sql(2.0),
         "pipeline_quickstart": quick(c()).sql(5),
-        "pipeline_events": quick(c(_EV, EV_H, EV_W)).sql(3),
+        "pipeline_events": quick(c(_EV, EV_H, EV_W)).sql(6),
     }
