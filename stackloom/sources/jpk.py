@@ -68,7 +68,7 @@ def frames_of(spark: SparkSession, folder: str | Path, channel: str, flip: bool
 
 def load_folder(spark: SparkSession, folder: str | Path, channel: str = "height_trace", flip: bool = True) -> FrameStack:
     """All frames must have one shape and, within rounding, one pixel size."""
-    frames = frames_of(spark, folder, channel, flip).persist()
+    frames = frames_of(spark, folder, channel, flip)
     facts = frames.agg(F.count("*").alias("n"), F.count_distinct("height", "width").alias("shapes"), F.min("pixel_size_nm").alias("lo"), F.max("pixel_size_nm").alias("hi"), F.max("height").alias("h"), F.max("width").alias("w")).first()
     if not facts["n"]:
         raise FileNotFoundError(f"{folder} has no .jpk files")
