@@ -240,6 +240,27 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hits array<struct<start: bigint, words: bigint>>")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The longest verbatim matches and where they are: doc_id, item_id (as text), first word in the item and in the document, words."""
+    out = None
+    for items in _items(benchmark, block_bytes):
+        bench = Benchmark(items, window)
+
+        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in K.chunks(b.column(1), SHARD):
+                    hashes, first = word_hashes(c)
+                    rows = longest(Shard(bench.number(hashes), first), bench)
+                    doc = np.searchsorted(first, [r[2] for r in rows], "right") - 1
+                    ids = b.column(0).take(pa.array(doc + c.rows.start, pa.int64()))
+                    cols = [[bench.names[r[0]] for r in rows], [r[1] for r in rows], [int(r[2] - first[d]) for r, d in zip(rows, doc, strict=True)], [int(r[3]) for r in rows]]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.string()), *(pa.array(x, pa.int64()) for x in cols[1:])], ["doc_id", "item_id", "item_word", "doc_word", "words"])
+
+        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id string, item_word bigint, doc_word bigint, words bigint")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with their columns, in which nothing of the benchmark is found."""
     return matched(docs, benchmark, window, block_bytes).where(F.size("__spans") == 0).select(*docs.columns)

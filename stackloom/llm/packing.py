@@ -252,9 +252,10 @@ def pieces(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, block_row
     dealt = dealt.sortWithinPartitions("doc_id", "salt")
 
     def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         n = table["doc_tokens"].to_numpy()
         crc = table["crcs"].combine_chunks()
         whole, rest = n // window, n % window

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stackloom.llm import kernel as K
 from stackloom.llm.quality import held_out, logistic, sample
 
-SAMPLE = 1500
+SAMPLE = 2200
 SAMPLE_BYTES = 16_384
 SPAN, STRIDE = 32, 16
 WORDS, CHARS = 1 << 13, 1 << 13
@@ -201,7 +201,7 @@ def _lift(w: Words, y: np.ndarray) -> np.ndarray:
     return np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 6, seed: int = 7) -> dict[str, np.ndarray] | float:
+def fit(rows: list[tuple[str, int]], rounds: int = 8, seed: int = 7) -> dict[str, np.ndarray] | float:
     """Parameters, with the curve's weights under "curve"; or a constant."""
     y = np.array([v for _, v in rows], float)
     if len(rows) < 12 or min(y.sum(), (1 - y).sum()) < 4:
@@ -219,7 +219,10 @@ def fit(rows: list[tuple[str, int]], rounds: int = 6, seed: int = 7) -> dict[str
     for k in range(rounds):
         top = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
         some = first[:-1] + g.integers(0, 1 << 30, len(y)) % np.diff(first)
-        windows = np.concatenate([top[learn], some[learn & (y == 0)]])
+        # the clean windows that score highest, whatever their document, teach what toxicity isn't
+        clean = np.flatnonzero((learn & (y == 0))[doc])
+        hard = clean[np.argsort(-score[clean])[: int((learn & (y == 1)).sum())]]
+        windows = np.concatenate([top[learn], some[learn & (y == 0)], hard])
         target = y[doc[windows]]
         weight = np.where(target == 1, len(target) / (2 * target.sum()), len(target) / (2 * (1 - target).sum()))
         for _ in range(2):
@@ -265,7 +268,8 @@ def scores(p: dict[str, np.ndarray] | float, column: pa.Array) -> np.ndarray:
         z = logits(p, w.inputs(p), index, full)
         out.append(np.maximum.reduceat(z, np.searchsorted(doc, np.arange(c.n))))
     z = np.concatenate(out).astype(float) if out else np.zeros(0)
-    return 1 / (1 + np.exp(-np.clip(z * p["curve"][0] + p["curve"][1], -30, 30)))
+    # rounded, as the last digits depend on which windows are multiplied together
+    return np.round(1 / (1 + np.exp(-np.clip(z * p["curve"][0] + p["curve"][1], -30, 30))), 6)
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
