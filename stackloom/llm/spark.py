@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    path = known.get() if known.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="stackloom-")
+        sc.setCheckpointDir(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session, so that lost executors lose nothing.
+    """Cuts lineage with a written table in the shared folder: what executors lose can be read again.
 
-    The folder is that of ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder.
+    Parquet takes a fraction of a checkpoint's room.  The tables go when the program ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="stackloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stackloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -41,12 +64,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = cut(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     else:

@@ -233,7 +233,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"d1": F.xxhash64("text"), "d2": F.hash("text")})
     key = ["d1", "d2"]
     copies = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
-    anchors = cut(rows.where(F.octet_length("text") >= LENGTH).select(*key, "text").mapInArrow(_anchors, "key bigint, d1 bigint, d2 int, at bigint, loop boolean"))
+    # computed twice rather than kept: they are small beside the text, but not beside the disk
+    anchors = rows.where(F.octet_length("text") >= LENGTH).select(*key, "text").mapInArrow(_anchors, "key bigint, d1 bigint, d2 int, at bigint, loop boolean")
     place = F.xxhash64("d1", "d2", "at")
     often = anchors.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("loop").alias("loop")).where("lo <> hi or loop").select("key")
     hits = anchors.join(often, "key").groupBy(*key).agg(F.collect_set("at").alias("ats"))
