@@ -14,8 +14,7 @@ ASCII white space); fewer words are one shingle.  Two documents link when
    bounds the overlap of two sets; an R-tree over the points of a group, with the greatest
    coordinates and the least size of each node, finds all points whose bound allows a link.
    Survivors are verified on the sets.
-4. No run is expanded into all its pairs: first each class is joined with its run's leader.
-   Then only runs whose classes are not in one component are searched again, from those classes
+4. No run is expanded into all its pairs: first each run's leader asks for the others.  Then only runs whose classes are not in one component are searched again, from those classes
    that are outside the run's largest component against all of the run.  Nothing that could link
    two components is left out, so components are exact.  Large groups are dealt out in salted
    parts.
@@ -43,7 +42,7 @@ SKETCH_BLOCK = 256
 POSTINGS_A_PART = 1_500_000
 FLUSH = 1_500_000
 PART_ROWS = 1000
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 400_000
 LEAF = 16
 
 
@@ -80,16 +79,19 @@ def least_overlap(n: int | np.ndarray, m: int | np.ndarray) -> int | np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a point: a power of two, so that counts stay small at any size."""
-    g = 64
-    while g < n // 4 and g < 4096:
+    """Coordinates of a point: a power of two, half of n at least.
+
+    Linked sizes differ by a third at most, so their numbers of coordinates by one doubling.
+    """
+    g = 32
+    while 2 * g < n:
         g *= 2
     return g
 
 
 def point(s: np.ndarray) -> np.ndarray:
     g = groups_for(len(s))
-    return np.bincount((s & K.U64(g - 1)).astype(np.int64), minlength=g).astype(np.uint32)
+    return np.bincount((s & K.U64(g - 1)).astype(np.int64), minlength=g).astype("<u4")
 
 
 def fold(p: np.ndarray, g: int) -> np.ndarray:
@@ -132,9 +134,27 @@ class RTree:
         return at[self._fits(q, n, self.points[at], self.sizes[at], self.sizes[at])]
 
 
-def tree_of(points: list[np.ndarray], sizes: list[int]) -> tuple[RTree, int]:
-    g = min(len(p) for p in points)
-    return RTree(np.stack([fold(p, g) for p in points]).astype(np.int64), np.array(sizes)), g
+class Forest:
+    """A tree for each number of coordinates, of the points that have it and, folded, those with twice as many."""
+
+    def __init__(self, points: list[np.ndarray], sizes: list[int]):
+        self.points, self.sizes = points, sizes
+        self.own = np.array([len(p) for p in points])
+        self.trees: dict[int, tuple[RTree, np.ndarray]] = {}
+        for g in sorted({*self.own.tolist()}):
+            rows = np.flatnonzero((self.own == g) | (self.own == 2 * g))
+            self.trees[g] = RTree(np.stack([fold(points[i].astype(np.int64), g) for i in rows]), np.array([sizes[i] for i in rows])), rows
+
+    def search(self, i: int) -> np.ndarray:
+        """Indices of all points whose bound with point i allows a link, itself among them."""
+        q, g, n = self.points[i].astype(np.int64), int(self.own[i]), self.sizes[i]
+        tree, rows = self.trees[g]
+        found = rows[tree.search(q, n)]
+        if g // 2 in self.trees:
+            tree, rows = self.trees[g // 2]
+            lower = rows[tree.search(fold(q, g // 2), n)]
+            found = np.concatenate([found, lower[self.own[lower] == g // 2]])
+        return found
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +261,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, text) -> (c, n, point, set)."""
+    """(c, text) -> (c, n, point); a text of another class (a doc_id that isn't unique) is left out."""
     for b in batches:
-        c, n, p, raw = [], [], [], []
-        for i, s in sets_of(b.column(1)):
-            c.append(b.column(0)[i].as_py())
-            n.append(len(s))
-            p.append(point(s).astype("<u4").tobytes())
-            raw.append(s.astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.array(raw, pa.binary())], ["c", "n", "point", "set"])
+        rows = [(c, len(s), point(s)) for c, s in _of_class(b)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["c", "n", "point"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, text) -> (c, set)."""
+    for b in batches:
+        rows = [(c, s.astype("<u8").tobytes()) for c, s in _of_class(b)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "set"])
+
+
+def _of_class(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    want = b.column(0).to_pylist()
+    for i, s in sets_of(b.column(1)):
+        if class_of(s) == want[i]:
+            yield want[i], s
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -266,54 +295,77 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (a, salt, c, n, point, set), the leader among them -> links (a, b)."""
+    """Groups (a, salt, c, set), that of a among them -> links (a, b)."""
     for rows in _groups(batches):
         a = rows[0][0]
-        lead = next((r for r in rows if r[2] == a), None)
-        rest = [r for r in rows if r[2] != a]
-        if lead is None or not rest:
-            continue
-        tree, g = tree_of([np.frombuffer(r[4], "<u4") for r in rows], [r[3] for r in rows])
-        mine = np.frombuffer(lead[5], "<u8")
-        near = tree.search(fold(np.frombuffer(lead[4], "<u4"), g).astype(np.int64), lead[3])
-        hit = [rows[i][2] for i in near if rows[i][2] != a and linked(mine, np.frombuffer(rows[i][5], "<u8"))]
+        mine = next((np.frombuffer(r[3], "<u8") for r in rows if r[2] == a), None)
+        hit = [] if mine is None else [r[2] for r in rows if r[2] != a and linked(mine, np.frombuffer(r[3], "<u8"))]
         if hit:
             yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (run, salt, c, n, point, component, asks) -> pairs (a, b) of different components that may link."""
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (g, salt, c, n, point, component, asks) -> pairs (a, b) of different components whose points allow a link."""
     for rows in _groups(batches):
-        tree, g = tree_of([np.frombuffer(r[4], "<u4") for r in rows], [r[3] for r in rows])
+        forest = Forest([np.frombuffer(r[4], "<u4") for r in rows], [r[3] for r in rows])
         pairs = set()
-        for q in rows:
+        for k, q in enumerate(rows):
             if q[6]:
-                for i in tree.search(fold(np.frombuffer(q[4], "<u4"), g).astype(np.int64), q[3]):
+                for i in forest.search(k):
                     if rows[i][5] != q[5]:
                         pairs.add((min(q[2], rows[i][2]), max(q[2], rows[i][2])))
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked among distinct pairs (a, b) of classes; sets: c, n, point, set."""
+def searched(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs that R-trees over groups g of rows (g, c, component, asks, m: the group's size) leave.
+
+    A class that asks goes to all parts of its group, any other to one.
+    """
+    salts = F.ceil(F.col("m") / PART_ROWS).cast("int")
+    part = F.when(F.col("asks"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), salts).cast("int")))
+    dealt = rows.select("g", "c", "component", "asks", F.explode(part).alias("salt"))
+    full = dealt.join(points, "c").select("g", "salt", "c", "n", "point", "component", "asks")
+    return full.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_search, "a bigint, b bigint").distinct()
+
+
+def led(members: DataFrame) -> DataFrame:
+    """For searched(): each run's leader asks for the classes of all runs that it leads.
+
+    The leader is the class that is in most runs: the text that copies were made from, if it is there.
+    """
+    degree = members.groupBy("c").agg(F.count("*").alias("d"))
+    leaders = members.join(degree, "c").groupBy("run").agg(F.max(F.struct("d", "c")).alias("top")).select("run", F.col("top.c").alias("g"))
+    star = members.join(leaders, "run").where("g <> c").select("g", "c").distinct()
+    size = star.groupBy("g").agg(F.count("*").alias("m"))
+    both = star.join(size, "g").select("g", "c", F.lit(False).alias("asks"), "m").unionAll(size.select("g", F.col("g").alias("c"), F.lit(True).alias("asks"), "m"))
+    return both.select("g", "c", F.col("c").alias("component"), "asks", "m")
+
+
+def crossing(members: DataFrame) -> DataFrame:
+    """For searched(): in runs (run, c, component) of several components all ask but those of the largest one."""
+    share = members.groupBy("run", "component").agg(F.count("*").alias("k"))
+    top = share.groupBy("run").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("m")).where("kinds > 1")
+    return members.join(top, "run").select(F.col("run").alias("g"), "c", "component", (F.col("component") != F.col("top.component")).alias("asks"), "m")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked among distinct pairs (a, b) of classes, by their whole sets."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("salts"))
     rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("c"))
     lead = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("c"))
-    full = rows.unionAll(lead).join(sets, "c").select("a", "salt", "c", "n", "point", "set")
+    rows = rows.unionAll(lead)
+    sets = texts_of(rows.select("c").distinct(), classes, docs).mapInArrow(_sets, "c bigint, set binary")
+    full = rows.join(sets, "c").select("a", "salt", "c", "set")
     return full.repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def crossing(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one run (run, c, component) but of different components whose points allow a link."""
-    share = members.groupBy("run", "component").agg(F.count("*").alias("k"))
-    top = share.groupBy("run").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("m")).where("kinds > 1")
-    rows = members.join(top, "run").select("run", "c", "component", (F.col("component") != F.col("top.component")).alias("asks"), F.ceil(F.col("m") / PART_ROWS).cast("int").alias("salts"))
-    own = F.pmod(F.xxhash64("c"), "salts").cast("int")
-    # a class that asks goes to every part, any other to its own
-    dealt = rows.select("run", "c", "component", "asks", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own))).alias("salt"))
-    full = dealt.join(sets.select("c", "n", "point"), "c").select("run", "salt", "c", "n", "point", "component", "asks")
-    return full.repartition(parts(members.sparkSession), "run", "salt").sortWithinPartitions("run", "salt").mapInArrow(_cross, "a bigint, b bigint").distinct()
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, text) of one document of each wanted class; ids are broadcast only up to BROADCAST_ROWS."""
+    wanted = cut(wanted.join(classes, "c").select("c", "rep"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
 
 
 def survey_of(docs: DataFrame) -> DataFrame:
@@ -332,17 +384,11 @@ def join(docs: DataFrame) -> DataFrame:
     postings = docs.select("text").mapInArrow(_postings(levels, many), "part int, keys binary, classes binary")
     members = cut(postings.repartition(many, "part").mapInArrow(_runs, "run bigint, c bigint").distinct())
 
-    wanted = cut(members.select("c").distinct().join(classes, "c").select("c", "rep"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text").mapInArrow(_points, "c bigint, n bigint, point binary, set binary")
-    sets = cut(sets.dropDuplicates(["c"]))
-
-    leaders = members.groupBy("run").agg(F.min("c").alias("a"))
-    star = members.join(leaders, "run").where("a <> c").select("a", F.col("c").alias("b")).distinct()
-    links = cut(verified(star, sets))
+    points = cut(texts_of(members.select("c").distinct(), classes, docs).mapInArrow(_points, "c bigint, n bigint, point binary"))
+    links = cut(verified(cut(searched(led(members), points)), classes, docs))
     known = components(links)
     left = members.join(known, F.col("c") == F.col("node"), "left").select("run", "c", F.coalesce("component", "c").alias("component"))
-    more = cut(verified(cut(crossing(cut(left), sets)), sets))
+    more = cut(verified(cut(searched(crossing(cut(left)), points)), classes, docs))
     final = components(links.unionAll(more))
     grouped = classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("g"))
     least = grouped.groupBy("g").agg(F.min("rep").alias("component_id"))
