@@ -306,6 +306,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups (g, salt, c, n, point, component, asks) -> pairs (a, b) of different components whose points allow a link."""
+    seen: set[tuple[int, int]] = set()
     for rows in _groups(batches):
         forest = Forest([np.frombuffer(r[4], "<u4") for r in rows], [r[3] for r in rows])
         pairs = set()
@@ -314,6 +315,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in forest.search(k):
                     if rows[i][5] != q[5]:
                         pairs.add((min(q[2], rows[i][2]), max(q[2], rows[i][2])))
+        pairs -= seen  # runs of one task often hold the same pair
+        if len(seen) < 1_000_000:
+            seen |= pairs
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
@@ -330,13 +334,14 @@ def searched(rows: DataFrame, points: DataFrame) -> DataFrame:
     return full.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_search, "a bigint, b bigint").distinct()
 
 
-def led(members: DataFrame) -> DataFrame:
-    """For searched(): each run's leader asks for the classes of all runs that it leads.
-
-    The leader is the class that is in most runs: the text that copies were made from, if it is there.
-    """
+def leaders_of(members: DataFrame) -> DataFrame:
+    """(run, g): each run's class that is in most runs, the text that copies were made from if it is there."""
     degree = members.groupBy("c").agg(F.count("*").alias("d"))
-    leaders = members.join(degree, "c").groupBy("run").agg(F.max(F.struct("d", "c")).alias("top")).select("run", F.col("top.c").alias("g"))
+    return members.join(degree, "c").groupBy("run").agg(F.max(F.struct("d", "c")).alias("top")).select("run", F.col("top.c").alias("g"))
+
+
+def led(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """For searched(): each run's leader asks for the classes of all runs that it leads."""
     star = members.join(leaders, "run").where("g <> c").select("g", "c").distinct()
     size = star.groupBy("g").agg(F.count("*").alias("m"))
     both = star.join(size, "g").select("g", "c", F.lit(False).alias("asks"), "m").unionAll(size.select("g", F.col("g").alias("c"), F.lit(True).alias("asks"), "m"))
@@ -385,9 +390,12 @@ def join(docs: DataFrame) -> DataFrame:
     members = cut(postings.repartition(many, "part").mapInArrow(_runs, "run bigint, c bigint").distinct())
 
     points = cut(texts_of(members.select("c").distinct(), classes, docs).mapInArrow(_points, "c bigint, n bigint, point binary"))
-    links = cut(verified(cut(searched(led(members), points)), classes, docs))
+    leaders = cut(leaders_of(members))
+    links = cut(verified(cut(searched(led(members, leaders), points)), classes, docs))
     known = components(links)
-    left = members.join(known, F.col("c") == F.col("node"), "left").select("run", "c", F.coalesce("component", "c").alias("component"))
+    # all pairs with a leader are settled, so a run of two classes is done
+    others = members.join(leaders, "run").where("c <> g").select("run", "c")
+    left = others.join(known, F.col("c") == F.col("node"), "left").select("run", "c", F.coalesce("component", "c").alias("component"))
     more = cut(verified(cut(searched(crossing(cut(left)), points)), classes, docs))
     final = components(links.unionAll(more))
     grouped = classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("g"))
