@@ -6,9 +6,9 @@ words differ in at most ``NEAR_BITS`` bits and their normalised texts have an ed
 1 - distance / longer length, of ``SIMILARITY`` or more; equal normalised lines are near in any
 case.  Of each connected group one occurrence stays: the one with the least (doc_id, line number).
 
-Plan.  Equal lines are pre-aggregated to one row before anything else.  With ``NEAR_BITS`` = 2,
-of four blocks of a SimHash two are the same in both lines, so the six pairs of blocks, 32 bits
-each, are the join keys.  Inside a bucket no list of all pairs is made: a semi-join keeps the
+Plan.  Equal lines are pre-aggregated to one row before anything else.  With ``NEAR_BITS`` = 3,
+of five blocks of a SimHash two are the same in both lines, so the ten pairs of blocks, 25 or 26
+bits each, are the join keys.  Inside a bucket no list of all pairs is made: a semi-join keeps the
 lines that have any near SimHash, then every line is verified against its bucket's first, and only
 lines of a bucket that are not yet in one component are compared with each other.
 
@@ -27,10 +27,10 @@ from pyspark.sql.window import Window
 
 from stackloom.llm.spark import components, cut
 
-NEAR_BITS = 2
+NEAR_BITS = 3
 SIMILARITY = 0.8
 MIN_WORDS = 4
-BLOCKS = 4
+BLOCKS = 5
 BROADCAST_ROWS = 100_000
 #: Words counted together: a counter of 8 bits keeps its highest bit free.
 RUN = 127
@@ -85,8 +85,9 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 def block_keys(s: Column) -> Column:
     """Array of join keys: each pair of blocks with the pair's number; near SimHashes share one."""
-    width = 64 // BLOCKS
-    block = [F.shiftrightunsigned(s, width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
+    cuts = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+    width = max(b - a for a, b in zip(cuts, cuts[1:]))
+    block = [F.shiftrightunsigned(s, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
     chosen = combinations(range(BLOCKS), BLOCKS - NEAR_BITS)
     return F.array(*[F.shiftleft(F.lit(k).cast("bigint"), 2 * width).bitwiseOR(F.shiftleft(block[i], width)).bitwiseOR(block[j]) for k, (i, j) in enumerate(chosen)])
 

@@ -370,6 +370,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.unionAll(docs)).count() == 2 * len(texts)
 
 
+def test_all_simhashes_within_three_bits_meet(spark):
+    g = random.Random(12)
+    base = g.getrandbits(63)
+    far = [base ^ sum(1 << b for b in g.sample(range(63), 3)) for _ in range(300)]
+    rows = spark.createDataFrame([(base, x) for x in far], "a long, b long")
+    met = F.arrays_overlap(line_dedup.block_keys(F.col("a")), line_dedup.block_keys(F.col("b"))) & line_dedup._near("a", "b")
+    assert rows.where(met).count() == len(far)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_hashes(docs_of(spark, ["a b c d"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
