@@ -1,10 +1,13 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines (split at \\n) are normalised: lower case, and words are runs of letters.  Lines of
-fewer than ``MIN_WORDS`` words always stay.  Two lines are near if the 64-bit SimHashes of their
-words differ in at most ``NEAR_BITS`` bits and their normalised texts have an edit similarity,
-1 - distance / longer length, of ``SIMILARITY`` or more; equal normalised lines are near in any
-case.  Of each connected group one occurrence stays: the one with the least (doc_id, line number).
+Lines (split at \\n) are normalised: lower case, and words are runs of letters.  Two lines are near
+if the 64-bit SimHashes of their words differ in at most ``NEAR_BITS`` bits and their normalised
+texts have an edit similarity, 1 - distance / longer length, of ``SIMILARITY`` or more; equal
+normalised lines are near in any case.  Lines of fewer than ``MIN_WORDS`` words whose normalised
+text has ``MIN_CHARS`` characters take the SimHash of its runs of three characters.  Shorter lines
+are near only if they are equal but for case and the amount of white space, so that numbers and
+symbols count.  Lines of white space always stay.  Of each connected group one occurrence stays:
+the one with the least (doc_id, line number).
 
 Plan.  Equal lines are pre-aggregated to one row before anything else.  With ``NEAR_BITS`` = 3,
 of five blocks of a SimHash two are the same in both lines, so the ten pairs of blocks, 25 or 26
@@ -30,6 +33,7 @@ from stackloom.llm.spark import components, cut
 NEAR_BITS = 3
 SIMILARITY = 0.8
 MIN_WORDS = 4
+MIN_CHARS = 20
 BLOCKS = 5
 BROADCAST_ROWS = 100_000
 #: Words counted together: a counter of 8 bits keeps its highest bit free.
@@ -43,7 +47,7 @@ def words_of(line: Column) -> Column:
 
 
 def simhash(hashes: Column, n: Column, rows: DataFrame, keep: list[Column]) -> DataFrame:
-    """rows with `keep` and s: bit i is set if it is in more than half of the n hashes of words.
+    """rows with `keep` and s: bit i is set if it is in more than half of the n hashes of words; null without n.
 
     Eight longs hold 64 counters of 8 bits for each run of 127 words; one run is decided by adding
     the same number to all counters and looking at their highest bits.
@@ -71,15 +75,23 @@ def simhash(hashes: Column, n: Column, rows: DataFrame, keep: list[Column]) -> D
             bit = 8 * lane + k
             long_ = long_.bitwiseOR(F.when(total * 2 > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint"))
     own = [c for c in rows.columns if c not in ("__a", "__r", "n")]
-    return rows.select(*own, F.when(F.col("__r").isNull(), s).otherwise(long_).alias("s"))
+    return rows.select(*own, F.when(F.col("n").isNotNull(), F.when(F.col("__r").isNull(), s).otherwise(long_)).alias("s"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h (of the normalised line), s (its SimHash) for all lines with enough words; no shuffle."""
+    """doc_id, line, h (of the normalised line), s (its SimHash; null for short lines) for all lines but white space; no shuffle."""
     lines = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "line", words_of(F.col("raw")).alias("w"))
-    lines = lines.select("doc_id", "line", "w", F.size("w").alias("n")).where(F.col("n") >= MIN_WORDS)
-    lines = lines.select("doc_id", "line", "n", F.xxhash64("w").alias("h"), F.transform("w", lambda w: F.xxhash64(w)).alias("x"))
+    lines = lines.where(F.col("raw").rlike(r"[^\s\p{Z}]")).select("doc_id", "line", "raw", words_of(F.col("raw")).alias("w"))
+    few = F.size("w") < MIN_WORDS
+    lines = lines.select("doc_id", "line", "raw", "w", few.alias("few"), F.when(few, F.array_join("w", " ")).alias("norm"))
+    short = F.col("few") & (F.length("norm") < MIN_CHARS)
+    # an h of its own kind: no normalised line has it
+    exact = F.xxhash64(F.lit("short"), F.trim(F.regexp_replace(F.lower("raw"), r"[\s\p{Z}]+", " ")))
+    chars = F.when(F.col("few") & ~short, F.split("norm", ""))
+    lines = lines.select("doc_id", "line", "w", "few", F.when(short, exact).otherwise(F.xxhash64("w")).alias("h"), chars.alias("c"))
+    threes = F.transform("c", lambda c, i: F.xxhash64(c, F.get("c", i + 1), F.get("c", i + 2)))
+    lines = lines.select("doc_id", "line", "h", F.when(F.col("few"), threes).otherwise(F.transform("w", lambda w: F.xxhash64(w))).alias("x"))
+    lines = lines.select("doc_id", "line", "h", "x", F.when(F.col("x").isNotNull(), F.size("x")).alias("n"))
     return simhash(F.col("x"), F.col("n"), lines, [F.col("doc_id"), F.col("line"), F.col("h")])
 
 
@@ -143,7 +155,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, for documents that lose any."""
     lines = cut(line_hashes(docs))
     kinds = cut(lines.groupBy("h", "s").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("n")).select("h", "s", "n", "k.doc_id", "k.line"))
-    comp = components(near_edges(kinds, docs))
+    comp = components(near_edges(kinds.where(F.col("s").isNotNull()), docs))
     grouped = kinds.join(comp, F.col("h") == F.col("node"), "left").select("h", "n", F.coalesce("component", "h").alias("c"), F.col("component").isNotNull().alias("near"), "doc_id", "line")
     keeper = grouped.where("near").groupBy("c").agg(F.min(F.struct("doc_id", "line")).alias("k"))
     keep = grouped.where("near or n > 1").join(keeper, "c", "left").select("h", F.coalesce(F.col("k"), F.struct("doc_id", "line")).alias("k"))

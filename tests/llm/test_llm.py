@@ -379,6 +379,15 @@ def test_all_simhashes_within_three_bits_meet(spark):
     assert rows.where(met).count() == len(far)
 
 
+def test_short_lines_repeat_exactly(spark):
+    han = "".join(chr(0x4E00 + 7 * k % 400) for k in range(150))
+    texts = ["Read more\n12\n----\n\nPage 1", " read  MORE\n13\n----\n\nPage 2", "Read, more\n12\n--\n \nPage 1", han, "x\n" + han, han[:149] + "\u8000"]
+    got = {r.doc_id: r.removed for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    assert {i: r for i, r in got.items() if i < 5} == {0: [], 1: [0, 2], 2: [1, 4], 3: [], 4: [1]}
+    s = {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts[3:])).where("line = 0").collect()}
+    assert s[1] is None and (bin((s[0] ^ s[2]) & (1 << 64) - 1).count("1") <= 3) == (got[5] == [0])
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_hashes(docs_of(spark, ["a b c d"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
