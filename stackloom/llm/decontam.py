@@ -5,8 +5,9 @@ Every executor task builds suffix arrays over the words of its own shard of docu
 in them.  From the range of a suffix come its longest verbatim matches and where they are.
 
 Words are numbered by the benchmark's vocabulary (0: a word that no item has; no match can hold
-one, so suffixes that begin with it are not sorted).  Four numbers make one 64-bit key; suffixes
-are sorted by three keys, ``DEPTH`` = 12 words, and matches are then extended word by word.
+one, so suffixes that begin with it are not sorted).  Four numbers of 16 bits make one 64-bit key,
+or two of 32 bits where a block has 65,536 or more different words; suffixes are sorted by the
+three or six keys of ``DEPTH`` = 12 words, and matches are then extended word by word.
 
 A match counts if it is ``window`` words long, or covers a whole item that is shorter.  Windows
 within one document only.  Null or empty texts have no words: no hits, not contaminated; items
@@ -42,15 +43,16 @@ def word_hashes(c: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_of(c.prefix(True), start, end), first
 
 
-def keys_at(ids: np.ndarray, stop: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of three 64-bit keys: 12 numbers of 16 bits from each place on, 0 beyond `stop`."""
-    out = np.zeros((3, len(at)), K.U64)
+def keys_at(ids: np.ndarray, stop: np.ndarray, at: np.ndarray, bits: int = 16) -> np.ndarray:
+    """Rows of 64-bit keys: 12 numbers of `bits` bits from each place on, 0 beyond `stop`."""
+    each = 64 // bits
+    out = np.zeros((DEPTH // each, len(at)), K.U64)
     for j in range(DEPTH):
         p = at + j
         inside = p < stop
         v = np.zeros(len(at), K.U64)
         v[inside] = ids[p[inside]]
-        out[j // 4] = (out[j // 4] << K.U64(16)) | v
+        out[j // each] = (out[j // each] << K.U64(bits)) | v
     return out
 
 
@@ -67,8 +69,7 @@ class Benchmark:
             firsts += [firsts[-1] + n for n in np.cumsum(np.diff(first)).tolist()]
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, K.U64)
         self.vocabulary = np.unique(hashes)
-        if len(self.vocabulary) >= 1 << 16:
-            raise ValueError("a block of the benchmark has too many different words")
+        self.bits = 16 if len(self.vocabulary) < 1 << 16 else 32
         self.ids = np.searchsorted(self.vocabulary, hashes) + 1
         first = np.array(firsts)
         n = np.diff(first)
@@ -81,7 +82,7 @@ class Benchmark:
         ok = self.at + self.need <= self.stop
         self.tests = self.at[ok]
         self.need, self.item_of = self.need[ok], self.item[ok]
-        keys = keys_at(self.ids, (self.tests + self.need), self.tests)
+        keys = keys_at(self.ids, (self.tests + self.need), self.tests, self.bits)
         self.keys, self.which = np.unique(keys, axis=1, return_inverse=True) if len(self.tests) else (keys, np.zeros(0, np.int64))
         self.which = self.which.ravel()
         self.lengths = np.zeros(self.keys.shape[1], np.int64)
@@ -98,11 +99,11 @@ class Benchmark:
 class Shard:
     """Suffix array over the words of some documents."""
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray):
-        self.ids, self.first = ids, first
+    def __init__(self, ids: np.ndarray, first: np.ndarray, bits: int = 16):
+        self.ids, self.first, self.bits = ids, first, bits
         stop = np.repeat(first[1:], np.diff(first))
         at = np.flatnonzero(ids)
-        lead = keys_at(ids, stop[at], at)
+        lead = keys_at(ids, stop[at], at, bits)
         order = np.lexsort(lead[::-1])
         self.suffixes, self.keys, self.stop = at[order], lead[:, order], stop
 
@@ -110,9 +111,10 @@ class Shard:
         """For each test the range of suffixes that start with its first `words` words (12 at most)."""
         lo = np.zeros(keys.shape[1], np.int64)
         hi = np.full(keys.shape[1], len(self.suffixes))
-        for j in range(3):
-            k = np.clip(words - 4 * j, 0, 4)
-            free = np.where(k == 4, K.U64(0), (K.U64(1) << (K.U64(16) * (4 - k).astype(K.U64) % K.U64(64))) - K.U64(1))
+        each = 64 // self.bits
+        for j in range(DEPTH // each):
+            k = np.clip(words - each * j, 0, each)
+            free = np.where(k == each, K.U64(0), (K.U64(1) << (K.U64(self.bits) * (each - k).astype(K.U64) % K.U64(64))) - K.U64(1))
             free[k == 0] = ~K.U64(0)
             a, b = lo, hi
             lo, hi = self._bound(j, keys[j], a, b, True), self._bound(j, keys[j] | free, a, b, False)
@@ -177,7 +179,7 @@ def _add(docs: DataFrame, bench: Benchmark) -> DataFrame:
             n, spans, items = [], [], []
             for c in K.chunks(b.column(at), SHARD):
                 hashes, first = word_hashes(c)
-                shard = Shard(bench.number(hashes), first)
+                shard = Shard(bench.number(hashes), first, bench.bits)
                 place, w = occurrences(shard, bench)
                 doc = np.searchsorted(first, place, "right") - 1
                 order = np.argsort(doc, kind="stable")
@@ -250,7 +252,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
             for b in batches:
                 for c in K.chunks(b.column(1), SHARD):
                     hashes, first = word_hashes(c)
-                    rows = longest(Shard(bench.number(hashes), first), bench)
+                    rows = longest(Shard(bench.number(hashes), first, bench.bits), bench)
                     doc = np.searchsorted(first, [r[2] for r in rows], "right") - 1
                     ids = b.column(0).take(pa.array(doc + c.rows.start, pa.int64()))
                     cols = [[bench.names[r[0]] for r in rows], [r[1] for r in rows], [int(r[2] - first[d]) for r, d in zip(rows, doc, strict=True)], [int(r[3]) for r in rows]]

@@ -193,6 +193,16 @@ def test_decontamination(spark, block):
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_takes_large_vocabularies(spark):
+    w = [f"w{k}" for k in range(70_000)]
+    items = [(0, " ".join(w)), (1, "w3 w2 w69999"), (2, " ".join(w[65_530:65_545]))]
+    texts = ["a " + " ".join(w[65_532:65_542]) + " b", " ".join(w[65_532:65_541]) + " w9", "w3 w2 w69999", "w2 w3 w69999", " ".join(w[:11]) + " w0"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.report(docs_of(spark, texts), bench).drop("hits").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_decontam(list(enumerate(texts)), items))
+    assert [r.n_hit for r in sorted(got)] == [10, 0, 3, 0, 11]
+
+
 def test_longest_matches():
     items = [("a", "p q r s t u v w x y z"), ("b", "k l")]
     bench = decontam.Benchmark(items)
