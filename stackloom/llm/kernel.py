@@ -50,7 +50,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < n at least."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 2 * CHUNK)
+        n = max(n, CHUNK + (CHUNK >> 3))
         one = np.ones(n, U64)
         one[1:] = BASE
         inv = np.ones(n, U64)
@@ -59,6 +59,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Drops the powers, which grow with the largest chunk so far."""
+    global _powers
+    _powers = np.ones(1, U64), np.ones(1, U64)
+
+
 class Chunk:
     """Some whole documents: bytes, and offsets of each (n + 1 of them)."""
 

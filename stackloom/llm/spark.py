@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,24 +29,68 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Cuts lineage with a written table in the shared folder: what executors lose can be read again.
 
-    Parquet takes a fraction of a checkpoint's room.  The tables go when the program ends.
+    Parquet takes a fraction of a checkpoint's room.  `instead_of`: a table of an earlier cut that
+    nothing needs any more once this one is written.  The others go when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stackloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    if instead_of is not None:
+        _delete(spark, instead_of._cut_at)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(ValueError):
+        _made.remove((spark, path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         with contextlib.suppress(Exception):  # the session may have ended before
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or with as many underscores as it takes not to be a column of df (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidy(run: Callable) -> Callable:
+    """For mapInArrow: gives memory that the function has used back to the system when its task ends.
+
+    Python workers live on between tasks; what their allocators hold would count beside the next one's.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        from stackloom.llm import kernel
+
+        try:
+            yield from run(batches)
+        finally:
+            kernel.forget()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def parts(spark: SparkSession) -> int:
@@ -66,7 +112,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = cut(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct())
+        e = cut(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), instead_of=e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
