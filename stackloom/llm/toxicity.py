@@ -1,17 +1,22 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word (lower case, split at ASCII white space) enters as its own hashed embedding beside the
-mean embedding of its character trigrams.  A recurrent layer runs over each window of ``SPAN``
-words in both directions, attention pools the states, and a linear layer gives the window's
-logit.  Windows overlap by half and cover the whole text; the last one ends with the text.  The
-greatest logit of all windows, through a fitted logistic curve, is the document's score.
-
-Learning takes at most ``SAMPLE`` labelled rows of each class (crc32(doc_id) modulo 5 not 0) and
-``SAMPLE_BYTES`` of each; a toxic text doesn't say where it is so, hence each round learns from
-the window that scores highest so far, and from the highest and random windows of the others.
+A word (lower case, split at ASCII white space) enters as its own embedding, if the sample knows
+it, beside the pooled embeddings of its character trigrams and beginnings (hashed).  A recurrent
+layer runs over each window of ``SPAN`` words in both directions, attention pools the states, and
+a linear layer gives the window's logit.  Windows overlap by half and cover the whole text; the
+last one ends with the text.  The greatest logit of all windows, through a fitted logistic curve,
+is the document's score.
+
+Learning takes whole labelled texts (crc32(doc_id) modulo 5 not 0): at most ``SAMPLE`` rows and
+``SAMPLE_BYTES`` bytes of each class, rows over ``ROW_BYTES`` left out as a whole.  The driver
+holds these texts as numbers of words only and looks at windows chunk after chunk.  Embeddings
+start from the log odds of words and beginnings.  A toxic text doesn't say where it is so, hence
+each round learns from the window that scores highest so far, and from the highest and random
+windows of the others.
 
 Null and empty texts have one window without words.  Repeated rows are scored each.  Without
-labels of both classes every score is the mean label (0.5 without labels).
+labels of both classes every score is the mean label (0.5 without labels).  Labels with a null id
+or another value than 0 and 1 teach nothing; a doc_id (bigint) may be null.
 """
 
 from __future__ import annotations
@@ -25,34 +30,40 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
 from stackloom.llm.quality import held_out, logistic, sample
+from stackloom.llm.spark import tidy
 
-SAMPLE = 2200
-SAMPLE_BYTES = 16_384
+SAMPLE = 2000
+SAMPLE_BYTES = 6 << 20
+ROW_BYTES = 64 << 10
 SPAN, STRIDE = 32, 16
-WORDS, CHARS = 1 << 13, 1 << 13
-DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 8, 16, 8, 8
+CHARS = 1 << 16
+BEGINNINGS = range(4, 10)
+#: Words in so many texts of the sample have an embedding of their own.
+KNOWN = 3
+DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 6, 10, 8, 8
 CUTOFF = 0.5
 F32 = np.float32
 
 
-def _fresh(seed: int) -> dict[str, np.ndarray]:
+def _fresh(seed: int, words: int = 0) -> dict[str, np.ndarray]:
+    """Parameters at random; embeddings of no word (the first row) and of all grams are zero."""
     g = np.random.default_rng(seed)
     d, h = DIM_WORD + DIM_CHAR, HIDDEN
     w = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(F32)
-    p = {"word": 0.1 * w(1, WORDS, DIM_WORD)[0], "char": 0.3 * w(1, CHARS, DIM_CHAR)[0]}
+    p = {"word": np.zeros((words + 1, DIM_WORD), F32), "char": 0.02 * g.standard_normal((CHARS, DIM_CHAR)).astype(F32)}
     for s in "fb":
         p |= {f"x{s}": w(d, 3 * h), f"h{s}": w(h, 3 * h), f"c{s}": np.zeros(3 * h, F32)}
     return p | {"a": w(2 * h, ATTEND), "v": w(ATTEND, 1), "o": w(2 * h, 1), "b": np.zeros(1, F32)}
 
 
 class Words:
-    """The words of a chunk: an index into distinct ones, with word and trigram buckets of these."""
+    """The words of a chunk: an index into distinct ones, with hashes and gram buckets of these."""
 
     def __init__(self, c: K.Chunk):
         start, end, self.first = c.words(K.NOT_SPACE)
-        hashes, at, which = np.unique(K.hash_of(c.prefix(True), start, end), return_index=True, return_inverse=True)
+        prefix = c.prefix(True)
+        self.hashes, at, which = np.unique(K.hash_of(prefix, start, end), return_index=True, return_inverse=True)
         self.which = which.astype(np.int32)
-        self.word = (hashes % K.U64(WORDS)).astype(np.int32)
         start, end = start[at], end[at]
         n = end - start
         total = np.cumsum(n)
@@ -61,26 +72,52 @@ class Words:
         before = np.where(place > np.repeat(start, n), low[np.maximum(place - 1, 0)], 1)
         after = np.where(place + 1 < np.repeat(end, n), low[np.minimum(place + 1, max(len(low) - 1, 0))], 2)
         tri = (before << 16) | (low[place] << 8) | after
-        self.tri = ((tri * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
-        self.tri_at, self.tri_n = total - n, n
+        owner = [np.repeat(np.arange(len(n), dtype=np.int32), n)]
+        grams = [((tri * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32)]
+        for k in BEGINNINGS:
+            some = np.flatnonzero(n >= k)
+            owner.append(some.astype(np.int32))
+            grams.append((K.hash_of(prefix, start[some], start[some] + k) >> K.U64(48)).astype(np.int32))
+        owner, grams = np.concatenate(owner), np.concatenate(grams)
+        order = np.argsort(owner, kind="stable")
+        self.tri, self.tri_n = grams[order], np.bincount(owner, minlength=len(n))
+        self.tri_at = np.cumsum(self.tri_n) - self.tri_n
+        self.word = np.zeros(len(n), np.int32)
+
+    def known(self, vocabulary: np.ndarray) -> Words:
+        """Numbers the words by a sorted vocabulary of hashes, 0 for others."""
+        if len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
+            self.word = np.where(vocabulary[at] == self.hashes, at + 1, 0).astype(np.int32)
+        return self
 
     def inputs(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros((0, DIM_WORD + DIM_CHAR), F32)
-        char = np.add.reduceat(p["char"][self.tri], self.tri_at) / self.tri_n[:, None].astype(F32)
-        return np.concatenate([p["word"][self.word], char], 1)
+        out = np.empty((len(self.word), DIM_WORD + DIM_CHAR), F32)
+        out[:, :DIM_WORD] = p["word"][self.word]
+        for lo in range(0, len(self.word), 8192):  # bounds the rows of grams in memory
+            hi = min(lo + 8192, len(self.word))
+            a, z = self.tri_at[lo], self.tri_at[hi - 1] + self.tri_n[hi - 1]
+            out[lo:hi, DIM_WORD:] = np.add.reduceat(p["char"][self.tri[a:z]], self.tri_at[lo:hi] - a) / np.sqrt(self.tri_n[lo:hi])[:, None].astype(F32)
+        return out
 
     def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of distinct words, -1 beyond the text; document) of all windows, each of SPAN words."""
+        begin, doc = self.begins(stride)
+        index = self.at(begin, doc)
+        return index, doc, (index >= 0).all(1)
+
+    def begins(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, document) of all windows."""
         n = np.diff(self.first)
         many = np.maximum(1, -(-(n - SPAN) // stride) + 1)
-        doc = np.repeat(np.arange(len(n)), many)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), many)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        begin = self.first[:-1][doc] + np.maximum(0, np.minimum(k * stride, n[doc] - SPAN))
+        return self.first[:-1][doc] + np.maximum(0, np.minimum(k * stride, n[doc] - SPAN)), doc
+
+    def at(self, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Rows of SPAN indices of distinct words for windows of (first word, document)."""
         at = begin[:, None] + np.arange(SPAN)
-        inside = at < self.first[1:][doc][:, None]
-        index = np.where(inside, np.append(self.which, 0)[np.minimum(at, len(self.which))], -1)
-        return index, doc, inside.all(1)
+        return np.where(at < self.first[1:][doc][:, None], np.append(self.which, np.int32(0))[np.minimum(at, len(self.which))], np.int32(-1))
 
 
 def logits(p: dict[str, np.ndarray], x: np.ndarray, index: np.ndarray, full: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -191,69 +228,138 @@ class Adam:
             self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-7)).astype(F32)
 
 
-def _lift(w: Words, y: np.ndarray) -> np.ndarray:
-    """Log odds that a document with a word is toxic, for each distinct word: where to look first."""
-    doc = np.repeat(np.arange(len(y)), np.diff(w.first))
-    pairs = np.unique(w.which.astype(np.int64) * len(y) + doc)
-    word, label = pairs // len(y), y[pairs % len(y)]
-    pos = np.bincount(word, label, minlength=len(w.word))
-    neg = np.bincount(word, 1 - label, minlength=len(w.word))
-    return np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
+class Sample:
+    """Whole labelled texts as chunks of numbered words, with the (chunk, first word, document) of each window."""
+
+    def __init__(self, texts: list[str], known: int):
+        self.parts: list[Words] = []
+        self.start = [0]
+        for c in K.chunks(pa.array(texts, pa.large_string())):
+            self.parts.append(Words(c))
+            self.start.append(self.start[-1] + c.n)
+        hashes = np.concatenate([np.unique(w.which.astype(np.int64) * len(w.first) + np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))) // len(w.first) + off for w, off in zip(self.parts, np.cumsum([0] + [len(w.hashes) for w in self.parts]))] or [np.zeros(0, np.int64)])
+        every = np.concatenate([w.hashes for w in self.parts] or [np.zeros(0, K.U64)])
+        distinct, inverse = np.unique(every, return_inverse=True)
+        self.vocabulary = distinct[np.bincount(inverse[hashes], minlength=len(distinct)) >= known]
+        spans = [w.known(self.vocabulary).begins() for w in self.parts]
+        self.begin = np.concatenate([b for b, _ in spans]).astype(np.int32)
+        self.local = np.concatenate([d for _, d in spans])
+        self.part = np.repeat(np.arange(len(spans)), [len(d) for _, d in spans])
+        self.doc = self.local + np.array(self.start)[self.part]
+        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+
+    def lifts(self, y: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds against the mean label of known words, and of grams, over the documents that are ok."""
+        out = []
+        for what, size in (("word", len(self.vocabulary) + 1), ("gram", CHARS)):
+            pos, neg = np.zeros(size), np.zeros(size)
+            for w, a, z in zip(self.parts, self.start, self.start[1:], strict=False):
+                doc = np.repeat(np.arange(z - a), np.diff(w.first))
+                mine = ok[a:z][doc]
+                pairs = np.unique(w.which[mine].astype(np.int64) * (z - a) + doc[mine])
+                word, doc = pairs // (z - a), pairs % (z - a)
+                if what == "word":
+                    key = w.word[word]
+                else:
+                    many = w.tri_n[word]
+                    key = w.tri[np.arange(many.sum()) + np.repeat(w.tri_at[word] - (np.cumsum(many) - many), many)]
+                    doc = np.repeat(doc, many)
+                pairs = np.unique(key.astype(np.int64) * (z - a) + doc)
+                key, label = pairs // (z - a), y[a:z][pairs % (z - a)]
+                pos += np.bincount(key, label, minlength=size)
+                neg += np.bincount(key, 1 - label, minlength=size)
+            rate = y[ok].mean()
+            share = (pos + 4 * rate) / (pos + neg + 4)
+            out.append(np.where(pos + neg >= KNOWN, np.log(share / (1 - share)) - np.log(rate / (1 - rate)), 0.0))
+        out[0][0] = 0
+        return out[0], out[1]
+
+    def scores(self, p: dict[str, np.ndarray]) -> np.ndarray:
+        """Logit of every window, chunk after chunk."""
+        out = []
+        for w in self.parts:
+            index, _, full = w.windows()
+            out.append(logits(p, w.inputs(p), index, full))
+        return np.concatenate(out)
+
+    def leads(self, word: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """For every window the greatest lift of its words: where to look first."""
+        out = []
+        for w in self.parts:
+            grams = np.maximum.reduceat(char[w.tri], w.tri_at) if len(w.tri) else np.zeros(0)
+            index, _, _ = w.windows()
+            out.append(np.append(word[w.word] + grams, -9.0)[index].max(1))
+        return np.concatenate(out)
+
+    def batch(self, windows: np.ndarray) -> tuple[Words, np.ndarray]:
+        """The words of some windows, and for each window the indices into these."""
+        words, rows = [], np.empty((len(windows), SPAN), np.int64)
+        total = 0
+        for k in np.unique(self.part[windows]):
+            mine = np.flatnonzero(self.part[windows] == k)
+            w, at = self.parts[k], windows[mine]
+            seen, back = np.unique(w.at(self.begin[at], self.local[at]), return_inverse=True)
+            back = back.reshape(len(mine), SPAN)
+            if seen[0] < 0:
+                seen, back = seen[1:], back - 1
+            words.append(_some(w, seen))
+            rows[mine] = np.where(back >= 0, back + total, -1)
+            total += len(seen)
+        out = Words.__new__(Words)
+        out.word, out.tri, out.tri_n = (np.concatenate([getattr(x, name) for x in words]) for name in ("word", "tri", "tri_n"))
+        out.tri_at = np.cumsum(out.tri_n) - out.tri_n
+        return out, rows
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 8, seed: int = 7) -> dict[str, np.ndarray] | float:
-    """Parameters, with the curve's weights under "curve"; or a constant."""
+    """Parameters, with the curve's weights under "curve" and the known words' hashes under "vocabulary"; or a constant."""
     y = np.array([v for _, v in rows], float)
     if len(rows) < 12 or min(y.sum(), (1 - y).sum()) < 4:
         return float(y.mean()) if len(rows) else 0.5
-    c = next(K.chunks(pa.array([t for t, _ in rows], pa.large_string()), 1 << 40))
-    w = Words(c)
-    index, doc, full = w.windows()
-    first = np.searchsorted(doc, np.arange(len(y) + 1))
     g = np.random.default_rng(seed)
-    learn = np.arange(len(y)) % 4 != 0
-    p = _fresh(seed)
+    s = Sample([t for t, _ in rows], KNOWN)
+    learn = np.ones(len(y), bool)
+    for v in (0, 1):  # every fourth of each class fits the curve
+        learn[np.flatnonzero(y == v)[::4]] = False
+    p = _fresh(seed, len(s.vocabulary))
     adam = Adam(p, 0.01)
-    score = np.append(_lift(w, np.where(learn, y, 0)), -9.0)[index].max(1)
-    tri_word = np.repeat(np.arange(len(w.word)), w.tri_n)
-    for k in range(rounds):
-        top = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)])
-        some = first[:-1] + g.integers(0, 1 << 30, len(y)) % np.diff(first)
+    word, char = s.lifts(y, learn)
+    p["word"][:, 0], p["char"][:, 0] = word / 4, char / 4
+    score = s.leads(word, char)
+    for _ in range(rounds):
+        top = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(s.first[:-1], s.first[1:], strict=True)])
+        some = s.first[:-1] + g.integers(0, 1 << 30, len(y)) % np.diff(s.first)
         # the clean windows that score highest, whatever their document, teach what toxicity isn't
-        clean = np.flatnonzero((learn & (y == 0))[doc])
+        clean = np.flatnonzero((learn & (y == 0))[s.doc])
         hard = clean[np.argsort(-score[clean])[: int((learn & (y == 1)).sum())]]
         windows = np.concatenate([top[learn], some[learn & (y == 0)], hard])
-        target = y[doc[windows]]
+        target = y[s.doc[windows]]
         weight = np.where(target == 1, len(target) / (2 * target.sum()), len(target) / (2 * (1 - target).sum()))
-        for _ in range(2):
+        for _ in range(max(2, 1500 // len(windows))):
             order = g.permutation(len(windows))
             for i in range(0, len(order), 128):
                 b = order[i : i + 128]
-                seen, back = np.unique(index[windows[b]], return_inverse=True)
-                back = back.reshape(len(b), SPAN)
-                if seen[0] < 0:
-                    seen, back = seen[1:], back - 1
-                part = _part(w, seen, tri_word)
-                x = part.inputs(p)
-                grads, dx, _ = gradients(p, x, back, target[b], weight[b])
+                part, index = s.batch(windows[b])
+                grads, dx, _ = gradients(p, part.inputs(p), index, target[b], weight[b])
                 grads["word"], grads["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
                 np.add.at(grads["word"], part.word, dx[:, :DIM_WORD])
-                np.add.at(grads["char"], part.tri, np.repeat(dx[:, DIM_WORD:] / part.tri_n[:, None].astype(F32), part.tri_n, 0))
+                grads["word"][0] = 0
+                np.add.at(grads["char"], part.tri, np.repeat(dx[:, DIM_WORD:] / np.sqrt(part.tri_n)[:, None].astype(F32), part.tri_n, 0))
                 adam.step(grads)
-        score = logits(p, w.inputs(p), index, full)
+        score = s.scores(p)
         adam.rate *= 0.8
-    best = np.maximum.reduceat(score, first[:-1])
+    best = np.maximum.reduceat(score, s.first[:-1])
     p["curve"] = logistic(best[~learn, None].astype(float), y[~learn], 1e-2)
+    p["vocabulary"] = s.vocabulary
     return p
 
 
-def _part(w: Words, seen: np.ndarray, tri_word: np.ndarray) -> Words:
+def _some(w: Words, seen: np.ndarray) -> Words:
     """The distinct words `seen` of w only."""
     part = Words.__new__(Words)
     part.word, part.tri_n = w.word[seen], w.tri_n[seen]
     total = np.cumsum(part.tri_n)
-    part.tri_at = total - part.tri_n
-    part.tri = w.tri[np.arange(total[-1] if len(total) else 0) + np.repeat(w.tri_at[seen] - part.tri_at, part.tri_n)]
+    part.tri = w.tri[np.arange(total[-1] if len(total) else 0) + np.repeat(w.tri_at[seen] - (total - part.tri_n), part.tri_n)]
     return part
 
 
@@ -263,7 +369,7 @@ def scores(p: dict[str, np.ndarray] | float, column: pa.Array) -> np.ndarray:
         return np.full(len(column), p)
     out = []
     for c in K.chunks(column):
-        w = Words(c)
+        w = Words(c).known(p["vocabulary"])
         index, doc, full = w.windows()
         z = logits(p, w.inputs(p), index, full)
         out.append(np.maximum.reduceat(z, np.searchsorted(doc, np.arange(c.n))))
@@ -274,8 +380,9 @@ def scores(p: dict[str, np.ndarray] | float, column: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    model = fit(sample(docs, labels, "toxic", per_class, SAMPLE_BYTES))
+    model = fit(sample(docs, labels, "toxic", per_class, SAMPLE_BYTES, ROW_BYTES))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, b.column(1)), pa.float64())], ["doc_id", "score"])
