@@ -14,17 +14,21 @@ ASCII white space); fewer words are one shingle.  Two documents link when
    bounds the overlap of two sets; an R-tree over the points of a group, with the greatest
    coordinates and the least size of each node, finds all points whose bound allows a link.
    Survivors are verified on the sets.
-4. No run is expanded into all its pairs: first each run's leader asks for the others.  Then only runs whose classes are not in one component are searched again, from those classes
-   that are outside the run's largest component against all of the run.  Nothing that could link
-   two components is left out, so components are exact.  Large groups are dealt out in salted
-   parts.
-
-Null and empty texts have an empty set and link with nothing.  Repeated rows are in one class.
-An empty table gives an empty result.
+4. No run is expanded into all its pairs.  The runs that have the same leader, the class of theirs
+   that is in most runs, are one group with one tree.  First each group's leader asks for the
+   others.  Then only groups whose classes are not in one component are searched again, from those
+   classes that are outside the group's largest component against all of the group.  Nothing that
+   could link two components is left out, so components are exact.  Large groups are dealt out in
+   salted parts.
+
+Null and empty texts have an empty set and link with nothing.  Repeated rows are in one class; a
+null doc_id (bigint) names no component.  An empty table gives an empty result.  Other columns
+pass through ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
-from stackloom.llm.spark import components, cut, parts
+from stackloom.llm.spark import components, cut, parts, tidy, unused
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH = 1 << 18
-SKETCH_BLOCK = 256
+#: Cells of the corpus sketch, whatever the corpus: a task's part takes a few MB when packed.
+SKETCH_BITS = 22
+SKETCH = 1 << SKETCH_BITS
+SKETCH_BLOCK = 1 << 14
 POSTINGS_A_PART = 1_500_000
 FLUSH = 1_500_000
 PART_ROWS = 1000
@@ -91,7 +97,17 @@ def groups_for(n: int) -> int:
 
 def point(s: np.ndarray) -> np.ndarray:
     g = groups_for(len(s))
-    return np.bincount((s & K.U64(g - 1)).astype(np.int64), minlength=g).astype("<u4")
+    return np.bincount((s & K.U64(g - 1)).astype(np.int64), minlength=g)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes: counts are small, so few bits of each are left."""
+    kind = b"1" if p.max() < 256 else b"4"
+    return kind + zlib.compress(p.astype("<u" + kind.decode()).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), "<u" + raw[:1].decode())
 
 
 def fold(p: np.ndarray, g: int) -> np.ndarray:
@@ -158,41 +174,46 @@ class Forest:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, n, c) for rows; (block, counts) of the task's sketch."""
-    sketch = np.zeros(SKETCH, np.int64)
+    """(doc_id, text) -> (doc_id, n, c) for rows; (block, packed counts) of the task's sketch."""
+    sketch = np.zeros(SKETCH, np.uint32)
     names = ["doc_id", "n", "c", "block", "counts"]
     for b in batches:
         n, c = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         for i, s in sets_of(b.column(1)):
             n[i], c[i] = len(s), class_of(s)
-            np.add.at(sketch, (s >> K.U64(46)).astype(np.int64), 1)
+            np.add.at(sketch, cell(s), np.uint32(1))
         none = pa.nulls(b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(c), none.cast(pa.int32()), none.cast(pa.binary())], names)
     busy = [k for k in range(SKETCH // SKETCH_BLOCK) if sketch[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK].any()]
     none = pa.nulls(len(busy), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(busy, pa.int32()), pa.array([sketch[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK].astype("<u4").tobytes() for k in busy], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(busy, pa.int32()), pa.array([packed(sketch[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK]) for k in busy], pa.binary())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
+            total[k] = total.get(k, 0) + unpacked(raw).astype(np.int64)
+    levels = [(8 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
 
 
 def sketch_levels(survey: DataFrame) -> np.ndarray:
     """For each cell of the corpus sketch the log of its count in eighths: SKETCH bytes, whatever the corpus."""
-    rows = survey.where("block is not null").select("block", "counts").repartition(parts(survey.sparkSession), "block").mapInArrow(_summed, "block int, counts binary")
-    total = np.zeros(SKETCH, np.int64)
-    for r in rows.collect():
-        total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], "<i8")
-    return (8 * np.log2(total + 1)).astype(np.uint8)
+    rows = survey.where("block is not null").select("block", "counts").repartition(parts(survey.sparkSession), "block").mapInArrow(tidy(_summed), "block int, levels binary")
+    levels = np.zeros(SKETCH, np.uint8)
+    for r in rows.toLocalIterator():  # SKETCH bytes in all
+        levels[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["levels"], np.uint8)
+    return levels
+
+
+def cell(s: np.ndarray) -> np.ndarray:
+    return (s >> K.U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The shingles of which linked sets share one, as places in the common order."""
-    order = levels[(s >> K.U64(46)).astype(np.int64)].astype(K.U64) << K.U64(56) | s & K.U64((1 << 56) - 1)
+    order = levels[cell(s)].astype(K.U64) << K.U64(56) | s & K.U64((1 << 56) - 1)
     k = len(s) - -(-PERCENT * len(s) // 100) + 1
     return np.sort(np.partition(order, k - 1)[:k]) if k < len(order) else order
 
@@ -264,7 +285,7 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(c, text) -> (c, n, point); a text of another class (a doc_id that isn't unique) is left out."""
     for b in batches:
         rows = [(c, len(s), point(s)) for c, s in _of_class(b)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["c", "n", "point"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([packed(r[2]) for r in rows], pa.binary())], ["c", "n", "point"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +329,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups (g, salt, c, n, point, component, asks) -> pairs (a, b) of different components whose points allow a link."""
     seen: set[tuple[int, int]] = set()
     for rows in _groups(batches):
-        forest = Forest([np.frombuffer(r[4], "<u4") for r in rows], [r[3] for r in rows])
+        forest = Forest([unpacked(r[4]) for r in rows], [r[3] for r in rows])
         pairs = set()
         for k, q in enumerate(rows):
             if q[6]:
@@ -331,28 +352,32 @@ def searched(rows: DataFrame, points: DataFrame) -> DataFrame:
     part = F.when(F.col("asks"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("c"), salts).cast("int")))
     dealt = rows.select("g", "c", "component", "asks", F.explode(part).alias("salt"))
     full = dealt.join(points, "c").select("g", "salt", "c", "n", "point", "component", "asks")
-    return full.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_search, "a bigint, b bigint").distinct()
+    return full.repartition(parts(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(tidy(_search), "a bigint, b bigint").distinct()
 
 
-def leaders_of(members: DataFrame) -> DataFrame:
-    """(run, g): each run's class that is in most runs, the text that copies were made from if it is there."""
+def stars_of(members: DataFrame) -> DataFrame:
+    """(g, c) once each: the classes of all runs that g leads, without itself.
+
+    A run's leader is its class that is in most runs, the text that copies were made from if it is
+    there; the runs of near copies share it, so these are one group.
+    """
     degree = members.groupBy("c").agg(F.count("*").alias("d"))
-    return members.join(degree, "c").groupBy("run").agg(F.max(F.struct("d", "c")).alias("top")).select("run", F.col("top.c").alias("g"))
+    top = members.join(degree, "c").groupBy("run").agg(F.max(F.struct("d", "c")).alias("top")).select("run", F.col("top.c").alias("g"))
+    return members.join(top, "run").where("g <> c").select("g", "c").distinct()
 
 
-def led(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """For searched(): each run's leader asks for the classes of all runs that it leads."""
-    star = members.join(leaders, "run").where("g <> c").select("g", "c").distinct()
-    size = star.groupBy("g").agg(F.count("*").alias("m"))
-    both = star.join(size, "g").select("g", "c", F.lit(False).alias("asks"), "m").unionAll(size.select("g", F.col("g").alias("c"), F.lit(True).alias("asks"), "m"))
+def led(stars: DataFrame) -> DataFrame:
+    """For searched(): each group's leader asks for all others."""
+    size = stars.groupBy("g").agg(F.count("*").alias("m"))
+    both = stars.join(size, "g").select("g", "c", F.lit(False).alias("asks"), "m").unionAll(size.select("g", F.col("g").alias("c"), F.lit(True).alias("asks"), "m"))
     return both.select("g", "c", F.col("c").alias("component"), "asks", "m")
 
 
-def crossing(members: DataFrame) -> DataFrame:
-    """For searched(): in runs (run, c, component) of several components all ask but those of the largest one."""
-    share = members.groupBy("run", "component").agg(F.count("*").alias("k"))
-    top = share.groupBy("run").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("m")).where("kinds > 1")
-    return members.join(top, "run").select(F.col("run").alias("g"), "c", "component", (F.col("component") != F.col("top.component")).alias("asks"), "m")
+def crossing(stars: DataFrame) -> DataFrame:
+    """For searched(): in groups (g, c, component) of several components all ask but those of the largest one."""
+    share = stars.groupBy("g", "component").agg(F.count("*").alias("k"))
+    top = share.groupBy("g").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("m")).where("kinds > 1")
+    return stars.join(top, "g").select("g", "c", "component", (F.col("component") != F.col("top.component")).alias("asks"), "m")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -361,9 +386,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("c"))
     lead = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("c"))
     rows = rows.unionAll(lead)
-    sets = texts_of(rows.select("c").distinct(), classes, docs).mapInArrow(_sets, "c bigint, set binary")
+    sets = texts_of(rows.select("c").distinct(), classes, docs).mapInArrow(tidy(_sets), "c bigint, set binary")
     full = rows.join(sets, "c").select("a", "salt", "c", "set")
-    return full.repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(_verify, "a bigint, b bigint")
+    return full.repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt").mapInArrow(tidy(_verify), "a bigint, b bigint")
 
 
 def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -374,7 +399,7 @@ def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def survey_of(docs: DataFrame) -> DataFrame:
-    return cut(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id bigint, n bigint, c bigint, block int, counts binary"))
+    return cut(docs.select("doc_id", "text").mapInArrow(tidy(_survey), "doc_id bigint, n bigint, c bigint, block int, counts binary"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -386,16 +411,15 @@ def join(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     many = max(parts(spark), int(total) // POSTINGS_A_PART + 1)
-    postings = docs.select("text").mapInArrow(_postings(levels, many), "part int, keys binary, classes binary")
-    members = cut(postings.repartition(many, "part").mapInArrow(_runs, "run bigint, c bigint").distinct())
+    postings = docs.select("text").mapInArrow(tidy(_postings(levels, many)), "part int, keys binary, classes binary")
+    members = cut(postings.repartition(many, "part").mapInArrow(tidy(_runs), "run bigint, c bigint").distinct())
 
-    points = cut(texts_of(members.select("c").distinct(), classes, docs).mapInArrow(_points, "c bigint, n bigint, point binary"))
-    leaders = cut(leaders_of(members))
-    links = cut(verified(cut(searched(led(members, leaders), points)), classes, docs))
+    stars = cut(stars_of(members))
+    points = cut(texts_of(stars.select("c").unionAll(stars.select("g")).distinct(), classes, docs).mapInArrow(tidy(_points), "c bigint, n bigint, point binary"))
+    links = cut(verified(cut(searched(led(stars), points)), classes, docs))
     known = components(links)
-    # all pairs with a leader are settled, so a run of two classes is done
-    others = members.join(leaders, "run").where("c <> g").select("run", "c")
-    left = others.join(known, F.col("c") == F.col("node"), "left").select("run", "c", F.coalesce("component", "c").alias("component"))
+    # all pairs with a leader are settled, so a group of one more class is done
+    left = stars.join(known, F.col("c") == F.col("node"), "left").select("g", "c", F.coalesce("component", "c").alias("component"))
     more = cut(verified(cut(searched(crossing(cut(left)), points)), classes, docs))
     final = components(links.unionAll(more))
     grouped = classes.join(final, F.col("c") == F.col("node"), "left").select("c", "rep", F.coalesce("component", "c").alias("g"))
@@ -407,5 +431,6 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each linked group the rows, with their columns, of the least doc_id; rows that repeat a doc_id all stay."""
-    gone = cut(join(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    own = unused(docs, "id")
+    gone = cut(join(docs.select("doc_id", "text")).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
