@@ -1,6 +1,6 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected as structs and sorted by (turn, role, text); adjacent turns of one role are
+Turns are collected as structs and sorted by (turn, role, text) as they are, before escaping; adjacent turns of one role are
 merged into one message by an array aggregation, and everything is concatenated:
 
     <|im_start|>ROLE\\nTEXT[<|part|>TEXT ...]<|im_end|>\\n
@@ -33,17 +33,16 @@ def unescape(c: Column) -> Column:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, formatted: one string for each conversation of (conv_id, turn, role, text)."""
-    role = F.replace(escape(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("<\\.|"))
-    rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
+    rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
     # a turn that follows one of its own role continues the message, any other closes it and opens its own
-    piece = F.transform(
-        "ts",
-        lambda t, i: F.when((i > 0) & (F.get("ts", i - 1)["role"] == t["role"]), F.concat(F.lit(PART), t["text"])).otherwise(
-            F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), t["role"], F.lit("\n"), t["text"])
-        ),
-    )
-    return sorted_turns.select("conv_id", F.concat(F.array_join(piece, ""), F.lit(END)).alias("formatted"))
+    def piece(t: Column, i: Column) -> Column:
+        role, text = F.replace(escape(t["role"]), F.lit("\n"), F.lit("<\\.|")), escape(t["text"])
+        opened = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), role, F.lit("\n"), text)
+        return F.when((i > 0) & (F.get("ts", i - 1)["role"] == t["role"]), F.concat(F.lit(PART), text)).otherwise(opened)
+
+    return sorted_turns.select("conv_id", F.concat(F.array_join(F.transform("ts", piece), ""), F.lit(END)).alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
