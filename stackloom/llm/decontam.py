@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Every executor task builds suffix arrays over the words of its own shard of documents (about
-``SHARD`` bytes each, so memory is bounded) and binary-searches every suffix of the benchmark
+``SHARD`` bytes each, so memory is bounded; a longer document is one shard) and binary-searches every suffix of the benchmark
 in them.  From the range of a suffix come its longest verbatim matches and where they are.
 
 Words are numbered by the benchmark's vocabulary (0: a word that no item has; no match can hold
@@ -11,7 +11,7 @@ three or six keys of ``DEPTH`` = 12 words, and matches are then extended word by
 
 A match counts if it is ``window`` words long, or covers a whole item that is shorter.  Windows
 within one document only.  Null or empty texts have no words: no hits, not contaminated; items
-without words are never found.  Repeated documents and items count each on their own; further
+without words are never found, and those without an id are one item with an empty name.  Repeated documents and items count each on their own; further
 columns pass through ``remove``.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
-from stackloom.llm.spark import cut
+from stackloom.llm.spark import cut, tidy, unused
 
 WINDOW = 10
 DEPTH = 12
-SHARD = 4 << 20
+SHARD = 1 << 20
 BLOCK_BYTES = 16 << 20
 
 
@@ -87,6 +87,9 @@ class Benchmark:
         self.which = self.which.ravel()
         self.lengths = np.zeros(self.keys.shape[1], np.int64)
         self.lengths[self.which] = self.need
+        # the items of each distinct window
+        pairs = np.unique(self.which.astype(np.int64) * max(1, len(self.names)) + self.item_of)
+        self.items, self.edge = pairs % max(1, len(self.names)), np.searchsorted(pairs // max(1, len(self.names)), np.arange(self.keys.shape[1] + 1))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -161,7 +164,7 @@ def longest(shard: Shard, bench: Benchmark) -> list[tuple[int, int, int, int]]:
 
 def _items(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The benchmark in blocks whose texts take about `block_bytes` each."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     for k in range(blocks):
@@ -172,8 +175,9 @@ def _items(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, s
 def _add(docs: DataFrame, bench: Benchmark) -> DataFrame:
     """docs with n_words, spans (start and end words of hits) and items of this block added to what is there."""
     at = docs.columns.index("text")
-    mine = [docs.columns.index(c) for c in ("__n", "__spans", "__items")]
+    mine = range(len(docs.columns) - 3, len(docs.columns))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, spans, items = [], [], []
@@ -192,7 +196,7 @@ def _add(docs: DataFrame, bench: Benchmark) -> DataFrame:
                     np.add.at(edge, p + bench.lengths[k], -1)
                     inside = np.diff(np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)) if len(p) else np.zeros(1, np.int8)
                     spans.append(np.stack([np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)], 1).ravel())
-                    hit = np.unique(bench.item_of[np.isin(bench.which, k)]) if len(k) else []
+                    hit = np.unique(np.concatenate([bench.items[bench.edge[x] : bench.edge[x + 1]] for x in np.unique(k)])) if len(k) else []
                     items.append([bench.names[x] for x in hit])
                 n += np.diff(first).tolist()
             before = [b.column(j).to_pylist() for j in mine]
@@ -206,10 +210,11 @@ def _add(docs: DataFrame, bench: Benchmark) -> DataFrame:
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n words, __spans of hit words and __items found, over the whole benchmark."""
+    """docs with three columns more: number of words, spans of hit words and items found, over the whole benchmark."""
     if window > DEPTH:
         raise ValueError(f"windows of at most {DEPTH} words")
-    out = docs.withColumns({"__n": F.lit(0).cast("bigint"), "__spans": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+    names = [unused(docs, c) for c in ("n", "spans", "items")]
+    out = docs.select("*", F.lit(0).cast("bigint").alias(names[0]), F.array().cast("array<bigint>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     for k, items in enumerate(_items(benchmark, block_bytes)):
         out = _add(cut(out) if k else out, Benchmark(items, window))
     return out
@@ -219,6 +224,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (words of each maximal run) for each row."""
     rows = matched(docs.select("doc_id", "text"), benchmark, window, block_bytes).drop("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit, many, digest, runs = [], [], [], []
@@ -265,4 +271,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with their columns, in which nothing of the benchmark is found."""
-    return matched(docs, benchmark, window, block_bytes).where(F.size("__spans") == 0).select(*docs.columns)
+    out = matched(docs, benchmark, window, block_bytes)
+    return out.where(F.size(out.columns[-2]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
