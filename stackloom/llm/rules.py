@@ -1,21 +1,29 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a vectorised test over the documents that all earlier rules kept.  On a bounded
-sample the cascade measures every rule's cost per document and the share that it rejects, and
-orders the rules by rejection per cost; the verdict is a conjunction, so the order only saves
-work.  Null and empty texts have no words and fail the base rule.
+A rule is a test over the documents that all earlier rules kept, and works out its own features;
+what an earlier rule has worked out (words, hashes) is used again.  On a bounded random sample the
+cascade measures every rule's cost per document and the share that it rejects, and orders the
+rules by rejection per cost.  The verdict is a conjunction, so the order only saves work: documents
+that are rejected leave the chunk as soon as they are half of it.
+
+``keep`` runs all rules in that order, the two of the base among them.  ``score`` has to report the
+base counts of every document, so there only the rules beyond the base are a cascade.  Null and
+empty texts have no words and fail the base.  Repeated rows are judged each; an empty table gives
+an empty result; other columns pass through ``keep`` whatever their names.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stackloom.llm import kernel as K
+from stackloom.llm.spark import tidy
 
 SYMBOLS = b"#*$%&|<>"
 SAMPLE_ROWS = 400
@@ -33,110 +41,141 @@ _bang = np.zeros(256, bool)
 _bang[list(b"!?")] = True
 
 
-def base(c: K.Chunk) -> dict[str, np.ndarray]:
-    """Counts of each document of a chunk: the base features and what the base rule says."""
-    start, _, first = c.words(K.NOT_SPACE)
-    n_words = np.diff(first)
-    prefix = c.prefix(False)
-    _, end, _ = c.words(K.NOT_SPACE)
-    h = K.hash_of(prefix, start, end)
-    head = (c.buf & 0xC0) != 0x80
-    word_chars = K.per_doc(head & K.NOT_SPACE[c.buf], c.offs)
-    n_symbols = K.per_doc(_symbol[c.buf], c.offs)
+class Features:
+    """Counts of each document of a chunk, each worked out when a rule first asks for it."""
 
-    at, doc = K.spans_of(first, WINDOW)
-    keys = K.shingles(h, WINDOW)[at] ^ K.mix(doc.astype(K.U64)) if len(at) else np.zeros(0, K.U64)
-    order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    edge = np.zeros(len(start) + 1, np.int32)
-    np.add.at(edge, at[twice], 1)
-    np.add.at(edge, at[twice] + WINDOW, -1)
-    n_repeat = K.per_doc(np.cumsum(edge)[:-1] > 0, first)
+    def __init__(self, c: K.Chunk):
+        self.c = c
 
-    breaks = np.flatnonzero(c.buf == 10)
-    full = np.diff(c.offs) > 0
-    line_start = np.sort(np.concatenate([c.offs[:-1][full], breaks + 1]))
-    line_doc = np.searchsorted(c.offs, line_start, "right") - 1
-    # a line after a last \n is empty and starts at its document's end
-    keep = line_start < len(c.buf)
-    line_start, line_doc = line_start[keep], line_doc[keep]
-    line_start, at1 = np.unique(line_start, return_index=True)
-    line_doc = line_doc[at1]
-    stop = np.searchsorted(breaks, line_start)
-    line_end = np.minimum(np.append(breaks, len(c.buf))[stop], c.offs[line_doc + 1])
-    has = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
-    line_start, line_end, line_doc = line_start[has], line_end[has], line_doc[has]
-    keys = K.mix(K.hash_of(prefix, line_start, line_end) + (line_end - line_start).astype(K.U64)) ^ K.mix(line_doc.astype(K.U64))
-    _, where = np.unique(keys, return_index=True)
-    n_lines = np.bincount(line_doc, minlength=c.n)
-    n_dup = n_lines - np.bincount(line_doc[where], minlength=c.n)
-    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "base_failed": failed, "n_lines": n_lines}
+    def only(self, some: np.ndarray) -> Features:
+        """The features of some documents, none worked out yet."""
+        c, n = self.c, np.diff(self.c.offs)
+        return Features(K.Chunk(c.buf[np.repeat(some, n)], np.concatenate([[0], np.cumsum(n[some])]), slice(0, int(some.sum()))))
 
+    def count(self, flags: np.ndarray) -> np.ndarray:
+        return K.per_doc(flags[self.c.buf], self.c.offs)
 
-def _share(c: K.Chunk, i: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Sums of a byte table's flags over the documents i only."""
-    return np.array([int(np.count_nonzero(flags[c.buf[c.offs[j] : c.offs[j + 1]]])) for j in i])
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.c.words(K.NOT_SPACE)
 
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        return self.c.prefix(False)
 
-Rule = Callable[[K.Chunk, dict[str, np.ndarray], np.ndarray], np.ndarray]
+    @cached_property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.words[2])
 
+    @cached_property
+    def word_chars(self) -> np.ndarray:
+        return K.per_doc(((self.c.buf & 0xC0) != 0x80) & K.NOT_SPACE[self.c.buf], self.c.offs)
 
-def _symbols(c, f, i):
-    return 10 * f["n_symbols"][i] > 3 * f["n_words"][i]
+    @cached_property
+    def n_symbols(self) -> np.ndarray:
+        return self.count(_symbol)
 
+    @cached_property
+    def n_repeat_words(self) -> np.ndarray:
+        start, end, first = self.words
+        at, doc = K.spans_of(first, WINDOW)
+        keys = K.shingles(K.hash_of(self.prefix, start, end), WINDOW)[at] ^ K.mix(doc.astype(K.U64)) if len(at) else np.zeros(0, K.U64)
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        twice = np.zeros(len(keys), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        edge = np.zeros(len(start) + 1, np.int32)
+        np.add.at(edge, at[twice], 1)
+        np.add.at(edge, at[twice] + WINDOW, -1)
+        return K.per_doc(np.cumsum(edge)[:-1] > 0, first)
 
-def _dup_lines(c, f, i):
-    return (f["n_lines"][i] >= 4) & (10 * f["n_dup_lines"][i] > 3 * f["n_lines"][i])
+    @cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and those of them that equal an earlier one."""
+        c, start = self.c, self.words[0]
+        breaks = np.flatnonzero(c.buf == 10)
+        full = np.diff(c.offs) > 0
+        line_start = np.sort(np.concatenate([c.offs[:-1][full], breaks + 1]))
+        # a line after a last \n is empty and starts at its document's end
+        line_start = np.unique(line_start[line_start < len(c.buf)])
+        line_doc = np.searchsorted(c.offs, line_start, "right") - 1
+        stop = np.searchsorted(breaks, line_start)
+        line_end = np.minimum(np.append(breaks, len(c.buf))[stop], c.offs[line_doc + 1])
+        has = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
+        line_start, line_end, line_doc = line_start[has], line_end[has], line_doc[has]
+        keys = K.mix(K.hash_of(self.prefix, line_start, line_end) + (line_end - line_start).astype(K.U64)) ^ K.mix(line_doc.astype(K.U64))
+        _, where = np.unique(keys, return_index=True)
+        n_lines = np.bincount(line_doc, minlength=c.n)
+        return n_lines, n_lines - np.bincount(line_doc[where], minlength=c.n)
 
+    @property
+    def n_dup_lines(self) -> np.ndarray:
+        return self.lines[1]
 
-def _word_length(c, f, i):
-    mean = f["word_chars"][i] / np.maximum(f["n_words"][i], 1)
-    return (mean < 2) | (mean > 15)
 
+Rule = Callable[[Features], np.ndarray]
 
-def _shouting(c, f, i):
-    up, low = _share(c, i, _upper), _share(c, i, _lower)
-    return (up > 20) & (up > 2 * low)
 
+def _shouting(f: Features) -> np.ndarray:
+    up = f.count(_upper)
+    return (up > 20) & (up > 2 * f.count(_lower))
 
-def _bangs(c, f, i):
-    return 2 * _share(c, i, _bang) > f["n_words"][i]
 
+def _word_length(f: Features) -> np.ndarray:
+    return (f.word_chars < 2 * f.n_words) | (f.word_chars > 15 * f.n_words)
 
-#: Rules beyond the base: a document goes if any says so.
-RULES: dict[str, Rule] = {"shouting": _shouting, "bangs": _bangs, "symbols": _symbols, "dup_lines": _dup_lines, "word_length": _word_length}
+
+def _dup_lines(f: Features) -> np.ndarray:
+    n, dup = f.lines
+    return (n >= 4) & (10 * dup > 3 * n)
+
+
+#: A document goes if any rule says so.
+BASE: dict[str, Rule] = {"few_words": lambda f: f.n_words < MIN_WORDS, "repeats": lambda f: 100 * f.n_repeat_words > MAX_REPEAT_PERCENT * f.n_words}
+RULES: dict[str, Rule] = {"shouting": _shouting, "bangs": lambda f: 2 * f.count(_bang) > f.n_words, "symbols": lambda f: 10 * f.n_symbols > 3 * f.n_words, "dup_lines": _dup_lines, "word_length": _word_length}
+ALL = BASE | RULES
 
 
 def plan(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of RULES by rejection per cost, as measured on at most `rows` rows."""
-    sample = docs.select("text").limit(rows).toPandas()["text"].tolist()
-    cost = dict.fromkeys(RULES, 1e-9)
-    gone = dict.fromkeys(RULES, 0)
-    for c in K.chunks(pa.array(sample, pa.large_string())):
-        f = base(c)
-        left = np.flatnonzero(~f["base_failed"])
-        for name, rule in RULES.items():
+    """Names of all rules by rejection per cost, as measured on at most `rows` rows."""
+    some = docs.select("text").sample(0.05, 7).limit(rows).toPandas()["text"].tolist()
+    if len(some) < rows // 4:  # a small table
+        some = docs.select("text").limit(rows).toPandas()["text"].tolist()
+    cost = dict.fromkeys(ALL, 1e-9)
+    gone = dict.fromkeys(ALL, 0)
+    for c in K.chunks(pa.array(some, pa.large_string())):
+        for name, rule in ALL.items():
             began = time.perf_counter()
-            gone[name] += int(rule(c, f, left).sum())
+            gone[name] += int(rule(Features(c)).sum())
             cost[name] += time.perf_counter() - began
-    return sorted(RULES, key=lambda r: (-(gone[r] + 0.01) / cost[r], r))
+    return sorted(ALL, key=lambda r: (-(gone[r] + 0.01) / cost[r], r))
+
+
+def cascade(f: Features, order: list[str], left: np.ndarray | None = None) -> np.ndarray:
+    """Which documents of a chunk all rules keep, of those in `left`."""
+    left = np.ones(f.c.n, bool) if left is None else left
+    row, alive = np.arange(f.c.n), left.copy()
+    for name in order:
+        if not alive.any():
+            break
+        if 2 * np.count_nonzero(alive) <= len(alive):
+            row, f = row[alive], f.only(alive)
+            alive = np.ones(len(row), bool)
+        alive &= ~ALL[name](f)
+    out = np.zeros(len(left), bool)
+    out[row[alive]] = True
+    return out
 
 
 def verdicts(column: pa.Array, order: list[str]) -> dict[str, np.ndarray]:
-    """Features and kept for every text of a column."""
+    """Base counts of every text of a column, base_failed and kept."""
     out: list[dict[str, np.ndarray]] = []
     for c in K.chunks(column):
-        f = base(c)
-        left = np.flatnonzero(~f["base_failed"])
-        for name in order:
-            if len(left):
-                left = left[~RULES[name](c, f, left)]
-        f["kept"] = np.zeros(c.n, bool)
-        f["kept"][left] = True
-        out.append(f)
+        f = Features(c)
+        got = {k: getattr(f, k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+        got["base_failed"] = np.logical_or(*(rule(f) for rule in BASE.values()))
+        got["kept"] = cascade(f, [r for r in order if r in RULES], ~got["base_failed"])
+        out.append(got)
     return {k: np.concatenate([f[k] for f in out]) for k in out[0]} if out else {}
 
 
@@ -148,6 +187,7 @@ def score(docs: DataFrame) -> DataFrame:
     order = plan(docs)
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -162,9 +202,10 @@ def keep(docs: DataFrame) -> DataFrame:
     order = plan(docs)
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(verdicts(b.column(at), order)["kept"]))
+                yield b.filter(pa.array(np.concatenate([cascade(Features(c), order) for c in K.chunks(b.column(at))])))
 
     return docs.mapInArrow(run, docs.schema)
