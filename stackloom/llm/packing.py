@@ -4,9 +4,9 @@ A document's ids (byte-level BPE, then one end id 0) give as many full windows a
 one rest; only full windows are cut off, so most pieces need no company.  Rests are packed in
 blocks of documents: the block's histogram of rest lengths is the right-hand side, columns are
 the shallow combinations (two or three lengths) that fill a window, and non-negative least
-squares gives how often to use each.  Counts are rounded down, patterns take their rests, and
-what is left over is packed greedily (best fit, longest first).  The last, open sequences are
-padded, except where they end at a power of two.
+squares gives how often to use each.  Counts are rounded, the most used patterns take their rests
+first and as many as there are (triples only what long rests don't need), and what is left over is packed greedily: the longest first, then
+the longest that fit.  Open sequences are padded, except where they end at a power of two.
 
 A block is what one hash partition of (doc_id, length) rows holds, and ``block_rows`` bounds its
 mean size, so packing is parallel and nothing of corpus size meets in one task.  Repeated rows
@@ -26,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
-from stackloom.llm.spark import cut
+from stackloom.llm.spark import cut, tidy
 
 WINDOW = 1024
 BLOCK_ROWS = 20_000
-CACHE = 1_000_000
+#: Triples considered for each longest length.
+TRIPLES = 8
+#: Words kept between chunks, and bytes of text at a time.
+CACHE = 200_000
+CHUNK = 512 << 10
 #: How vocabularies of this family split texts: a fixed value.  split_plain() says the same in numpy.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_MARK = "<|endoftext|>"
@@ -155,11 +159,12 @@ def ids_of(tokenizer_json: str) -> Ids:
 def tokenize(docs: DataFrame, tokenizer_json: str, window: int = WINDOW) -> DataFrame:
     """For each row: doc_id, doc_tokens and the CRCs of its pieces (full windows, then the rest if any)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer_json)
         for b in batches:
             n, crcs = [], []
-            for c in K.chunks(b.column(1)):
+            for c in K.chunks(b.column(1), CHUNK):
                 for x in ids.chunk(c):
                     raw = x.astype("<u4").tobytes() + b"\0\0\0\0"
                     n.append(len(raw) // 4)
@@ -169,73 +174,103 @@ def tokenize(docs: DataFrame, tokenizer_json: str, window: int = WINDOW) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>")
 
 
-def combinations(have: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Pairs of present lengths that fill the window, and for each length one triple."""
+def combinations(have: np.ndarray, window: int, triples: int = TRIPLES) -> np.ndarray:
+    """Rows (a, b, c), a >= b >= c, of present lengths that fill the window; c is 0 in pairs.
+
+    All pairs, and for each longest length up to half the window up to `triples` triples, spread
+    over those there are.  A longer one with two shorter would leave another long one without any.
+    """
+    have = have.copy()
+    have[0] = False
     some = np.flatnonzero(have)
-    out = [(int(a), int(window - a)) for a in some if a <= window - a and have[window - a]]
-    for a in some[::-1]:
+    pairs = some[(2 * some >= window)]
+    pairs = pairs[have[window - pairs]]
+    out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)]
+    for a in some[(3 * some >= window) & (2 * some <= window)]:
         rest = window - a
-        for b in some[(some <= rest // 2) & (some > 0)][::-1]:
-            if have[rest - b]:
-                out.append(tuple(sorted((int(a), int(b), int(rest - b)))))
-                break
-    return list(dict.fromkeys(out))
-
-
-def nnls(patterns: list[tuple[int, ...]], count: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """Non-negative least squares of patterns against a histogram, by coordinate descent."""
-    x = np.zeros(len(patterns))
-    left = count.astype(float)
-    cols = [np.unique(p, return_counts=True) for p in patterns]
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, (rows, times) in enumerate(cols):
-            step = max(-x[j], float(left[rows] @ times) / float(times @ times))
-            if step:
-                x[j] += step
-                left[rows] -= step * times
-                moved = max(moved, abs(step))
-        if moved < 0.05:
+        b = some[(2 * some >= rest) & (some < rest) & (some <= a)]
+        b = b[have[rest - b]]
+        if len(b) > triples:
+            b = b[np.linspace(0, len(b) - 1, triples).astype(int)]
+        out.append(np.stack([np.full_like(b, a), b, rest - b], 1))
+    return np.concatenate(out)
+
+
+def nnls(patterns: np.ndarray, count: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Non-negative least squares of patterns against a histogram, by accelerated projected gradients."""
+    if not len(patterns):
+        return np.zeros(0)
+    size = len(count)
+    used = patterns.T.ravel()
+
+    def product(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(used, np.tile(x, 3), size)
+        out[0] = 0  # the place of no third length
+        return out
+
+    # the greatest row sum times the greatest column sum bounds the squared norm
+    step = 1 / (3 * max(1.0, product(np.ones(len(patterns))).max()))
+    x = y = np.zeros(len(patterns))
+    t = 1.0
+    for _ in range(steps):
+        left = product(y) - count
+        left[0] = 0
+        new = np.maximum(0, y - step * left[patterns].sum(1))
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        y = new + (before - 1) / t * (new - x)
+        moved, x = np.abs(new - x).max(), new
+        if moved < 1e-3:
             break
     return x
 
 
 def pack(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset for each rest, 0 < length < window."""
-    n = len(lengths)
-    seq, off = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order = np.argsort(lengths, kind="stable")
-    begin = np.searchsorted(lengths[order], np.arange(window + 1))
-    end = begin[1:].copy()
-    nxt = begin[:-1].copy()
-    count = end - nxt
-    made = 0
+    count = np.bincount(lengths, minlength=window + 1)[: window + 1]
+    made: list[tuple[int, ...]] = []
     patterns = combinations(count > 0, window)
-    for p, times in zip(patterns, np.floor(nnls(patterns, count) + 1e-9).astype(int), strict=True):
-        for _ in range(times):
-            rows, need = np.unique(p, return_counts=True)
-            if (end[rows] - nxt[rows] < need).any():
-                break
-            o = 0
-            for length in p:
-                i = order[nxt[length]]
-                nxt[length] += 1
-                seq[i], off[i] = made, o
-                o += length
-            made += 1
-    # best fit: room[r] holds the open sequences with r places left
-    room: list[list[int]] = [[] for _ in range(window + 1)]
-    for length in range(window - 1, 0, -1):
-        for k in range(nxt[length], end[length]):
-            i = order[k]
-            r = next((r for r in range(length, window) if room[r]), 0)
-            if r:
-                s = room[r].pop()
-            else:
-                s, r, made = made, window, made + 1
-            seq[i], off[i] = s, window - r
-            if r > length:
-                room[r - length].append(s)
+    often = nnls(patterns, count)
+    # pairs first; triples have what the long lengths that are left don't need to be filled up
+    spare = 0
+    for kind in (patterns[:, 2] == 0, patterns[:, 2] > 0):
+        rows = np.flatnonzero(kind)
+        rows = rows[np.argsort(-often[rows], kind="stable")]
+        for row, times in zip(patterns[rows].tolist(), np.rint(often[rows]).astype(int).tolist(), strict=True):
+            parts = [n for n in row if n]
+            times = min(times, *(count[n] // parts.count(n) for n in parts), spare if len(parts) == 3 else times)
+            if times > 0:
+                for n in parts:
+                    count[n] -= times
+                made += [tuple(parts)] * times
+                spare -= times
+        length, half = np.arange(window + 1), window // 2
+        spare = int(count[: half + 1] @ length[: half + 1] - count[half + 1 :] @ (window - length[half + 1 :])) // window
+    # what is left: the longest first, filled up by the longest that fit
+    top = window
+    while True:
+        while top and not count[top]:
+            top -= 1
+        if not top:
+            break
+        parts, room = [], window
+        n = top
+        while n:
+            parts.append(n)
+            count[n] -= 1
+            room -= n
+            n = min(n, room)
+            while n and not count[n]:
+                n -= 1
+        made.append(tuple(parts))
+    # rests of one length take the places for it in order
+    n = np.array([len(p) for p in made], np.int64)
+    flat = np.array([x for p in made for x in p], np.int64)
+    which = np.repeat(np.arange(len(made)), n)
+    before = np.cumsum(flat) - flat
+    place = before - np.repeat(before[np.cumsum(n) - n], n) if len(flat) else flat
+    spot, rest = np.argsort(flat, kind="stable"), np.argsort(lengths, kind="stable")
+    seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    seq[rest], off[rest] = which[spot], place[spot]
     return seq, off
 
 
@@ -272,6 +307,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, block_row
         whole_table = pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], names=[x.split()[0] for x in PIECES.split(", ")])
         yield from whole_table.to_batches(max_chunksize=10_000)
 
+    @tidy
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
