@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
-from stackloom.llm.spark import cut, parts
+from stackloom.llm.spark import cut, parts, tidy
 
 LENGTH = 400
 GRAM = 200
@@ -234,7 +234,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     key = ["d1", "d2"]
     copies = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     # computed twice rather than kept: they are small beside the text, but not beside the disk
-    anchors = rows.where(F.octet_length("text") >= LENGTH).select(*key, "text").mapInArrow(_anchors, "key bigint, d1 bigint, d2 int, at bigint, loop boolean")
+    anchors = rows.where(F.octet_length("text") >= LENGTH).select(*key, "text").mapInArrow(tidy(_anchors), "key bigint, d1 bigint, d2 int, at bigint, loop boolean")
     place = F.xxhash64("d1", "d2", "at")
     often = anchors.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("loop").alias("loop")).where("lo <> hi or loop").select("key")
     hits = anchors.join(often, "key").groupBy(*key).agg(F.collect_set("at").alias("ats"))
@@ -243,10 +243,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     tasks = max(parts(spark), int(runs) * (LENGTH + GRAM) // CONTEXT_BYTES_A_TASK)
 
     once = rows.join(hits.where("ats is not null").select(*key, "ats", "rep"), key).where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    contexts = once.select(*key, "text", "ats").mapInArrow(_contexts, "key bigint, ctx bigint, d1 bigint, d2 int, at bigint, starts bigint, bytes binary")
+    contexts = once.select(*key, "text", "ats").mapInArrow(tidy(_contexts), "key bigint, ctx bigint, d1 bigint, d2 int, at bigint, starts bigint, bytes binary")
     kinds = contexts.groupBy("key", "ctx").agg(F.min("starts").alias("starts"), F.max("bytes").alias("bytes"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     dealt = kinds.select("key", "ctx", "starts", "bytes", (F.col("lo") != F.col("hi")).alias("twice")).repartition(tasks, "key").sortWithinPartitions("key", "ctx")
-    found = dealt.mapInArrow(_blocks, "key bigint, ctx bigint, spans array<bigint>").where(F.size("spans") > 0)
+    found = dealt.mapInArrow(tidy(_blocks), "key bigint, ctx bigint, spans array<bigint>").where(F.size("spans") > 0)
     spans = contexts.drop("bytes").join(found, ["key", "ctx"]).groupBy(*key).agg(F.collect_set(F.transform("spans", lambda x: x + F.col("at"))).alias("spans"))
     covered = hits.select(*key, "copies").join(spans, key, "left")
     return rows.join(covered, key, "left").select("doc_id", "text", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"), F.coalesce(F.flatten("spans"), F.array().cast("array<bigint>")).alias("spans"))
@@ -265,6 +265,7 @@ def merged(spans: list[int]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), for every row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, gone, many, kept = [], [], [], []

@@ -8,10 +8,12 @@ distrust is over ``THRESHOLD`` times its trust, else allow.
 
 Scores are whole numbers (``UNIT`` for the sum of all seeds), so sums don't depend on the order
 of rows and a retried task gives the same result.  Each round is one join and one pre-aggregated
-sum over distinct host pairs; lineage is cut each ``EACH`` rounds.
+sum over distinct host pairs; lineage is cut each ``EACH`` rounds, and rounds end as soon as no
+score changes any more, after ``ROUNDS`` at the latest.
 
 A null url or one without ``://`` has an empty host and path, and the empty host is judged like
-any other.  Null html has no links.  Repeated rows stay and count again as seeds.
+any other.  Null html has no links.  Repeated rows stay and count again as seeds; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from stackloom.llm.spark import cut
 
 #: (host, path, verdict) as the contract lists them: fixed values.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-UNIT = 1_000_000_000_000
+UNIT = 10**18
 DAMPING = 0.85
-ROUNDS = 8
+#: After so many rounds less than 1/10,000 of a seed's score is still on its way.
+ROUNDS = 57
 EACH = 4
 THRESHOLD = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,11 +71,15 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
     if shares.isEmpty():
         return score
     again = start.select("host", F.floor(F.col("seed") * (1 - DAMPING)).cast("bigint").alias("score"))
-    for k in range(rounds):
+    for k in range(1, rounds + 1):
+        before = score
         moved = shares.join(score, shares["src"] == score["host"]).select(F.col("dst").alias("host"), F.floor(F.col("score") * DAMPING * F.col("part")).cast("bigint").alias("score"))
         score = again.unionAll(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if (k + 1) % EACH == 0:
+        if k % EACH == 0 or k == rounds:
             score = cut(score)
+            changed = score.alias("x").join(before.alias("y"), "host", "full").where(~F.col("x.score").eqNullSafe(F.col("y.score")))
+            if changed.isEmpty():
+                break
     return score
 
 
