@@ -12,31 +12,37 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import decontam, line_dedup, ngram_join, packing, rules
 from stackloom.llm.queries import tokenizer_json
-from stackloom.llm.spark import cut
+from stackloom.llm.spark import cut, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that every rule keeps; null and empty texts go."""
     return rules.keep(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs)
-    touched = F.size("removed") > 0
-    out = out.where(~touched | (F.length(F.trim("text")) > 0))
+    """The documents without repeated lines; null and empty texts stay, those with nothing left go."""
+    removed = unused(docs, "removed")
+    out = line_dedup.dedup(docs, removed)
+    touched = F.size(removed) > 0
+    out = out.where(~touched | F.col("text").isNull() | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each linked group the document with the least doc_id; null and empty texts link with nothing and stay."""
     return ngram_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of the benchmark is found; null and empty texts stay."""
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024; null and empty texts are one end id."""
     return packing.pieces(docs, tokenizer_json())
 
 
