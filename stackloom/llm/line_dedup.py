@@ -1,17 +1,17 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines (split at \\n) are normalised: lower case, and words are runs of letters.  Two lines are near
-if the 64-bit SimHashes of their words differ in at most ``NEAR_BITS`` bits and their normalised
-texts have an edit similarity, 1 - distance / longer length, of ``SIMILARITY`` or more; equal
-normalised lines are near in any case.  Lines of fewer than ``MIN_WORDS`` words whose normalised
-text has ``MIN_CHARS`` characters take the SimHash of its runs of three characters.  Shorter lines
-are near only if they are equal but for case and the amount of white space, so that numbers and
+Lines (split at \\n) are normalised: lower case, and words are runs of letters and digits.  Two
+lines are near if the SimHashes (``BITS`` bits) of their distinct words differ in at most ``NEAR_BITS`` bits
+and their normalised texts have an edit similarity, 1 - distance / longer length, of ``SIMILARITY``
+or more; equal normalised lines are near in any case.  Lines of fewer than ``MIN_WORDS`` words whose
+normalised text has ``MIN_CHARS`` characters take the SimHash of its runs of three characters.
+Shorter lines are near only if they are equal but for case and the amount of white space, so that
 symbols count.  Lines of white space always stay.  Of each connected group one occurrence stays:
 the one with the least (doc_id, line number).
 
 Plan.  Equal lines are pre-aggregated to one row before anything else.  With ``NEAR_BITS`` = 3,
-of five blocks of a SimHash two are the same in both lines, so the ten pairs of blocks, 25 or 26
-bits each, are the join keys.  Inside a bucket no list of all pairs is made: a semi-join keeps the
+of five blocks of a SimHash two are the same in both lines, so the ten pairs of blocks, 24 bits
+each, are the join keys; more ``BLOCKS`` give longer keys to a larger corpus and the same result.  Inside a bucket no list of all pairs is made: a semi-join keeps the
 lines that have any near SimHash, then every line is verified against its bucket's first, and only
 lines of a bucket that are not yet in one component are compared with each other.
 
@@ -28,80 +28,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackloom.llm.spark import components, cut
+from stackloom.llm.spark import components, cut, unused
 
+BITS = 60
 NEAR_BITS = 3
 SIMILARITY = 0.8
 MIN_WORDS = 4
 MIN_CHARS = 20
 BLOCKS = 5
 BROADCAST_ROWS = 100_000
-#: Words counted together: a counter of 8 bits keeps its highest bit free.
-RUN = 127
-LANES = 0x0101010101010101
-WIDE = 0x0001000100010001
+#: Words counted together: a counter of 4 bits holds 15; the sum of two longs may not reach the 64th bit.
+RUN = 15
+NIBBLES = 0x0111111111111111
+WIDE = 0x000F000F000F000F
+#: Words counted by counters of 16 bits, of which the highest two stay free.
+MOST = 1092 * RUN
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}]+"), "")
+def normal(line: Column) -> Column:
+    """Words of letters and digits in lower case, a space between them."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def simhash(hashes: Column, n: Column, rows: DataFrame, keep: list[Column]) -> DataFrame:
-    """rows with `keep` and s: bit i is set if it is in more than half of the n hashes of words; null without n.
+def simhash(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and s of rows with x, hashes of words: bit i is set if it is in more than half of them; null without x.
 
-    Eight longs hold 64 counters of 8 bits for each run of 127 words; one run is decided by adding
-    the same number to all counters and looking at their highest bits.
+    Four longs hold 60 counters of 4 bits for each run of 15 words; runs add up in 16 longs with
+    counters of 16 bits.  These are decided by adding the same number to all and looking at a high bit.
     """
-    names = [f"c{k}" for k in range(8)]
-    none = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in names])
-
-    def count(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[c] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES))).alias(c) for k, c in enumerate(names)])
-
-    short = F.aggregate(F.when(n <= RUN, hashes), none, count)
-    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}")), lambda i: F.aggregate(F.slice(hashes, i * RUN + 1, RUN), none, count))
-    rows = rows.select(*keep, n.alias("n"), short.alias("__a"), F.when(n > RUN, runs).alias("__r"))
-    add = (F.lit(RUN) - F.expr("n div 2")).cast("bigint") * F.lit(WIDE)
-    s: Column = F.lit(0).cast("bigint")
-    for k, c in enumerate(names):
-        a = F.col(f"__a.{c}")
-        even, odd = a.bitwiseAND(F.lit(0x007F007F007F007F)), F.shiftrightunsigned(a, 8).bitwiseAND(F.lit(0x007F007F007F007F))
-        top = [F.shiftrightunsigned(x + add, 7).bitwiseAND(F.lit(WIDE)) for x in (even, odd)]
-        s = s.bitwiseOR(F.shiftleft(top[0].bitwiseOR(F.shiftleft(top[1], 8)), k))
-    long_: Column = F.lit(0).cast("bigint")
-    for k, c in enumerate(names):
-        for lane in range(8):
-            total = F.aggregate("__r", F.lit(0).cast("bigint"), lambda t, x: t + F.shiftrightunsigned(x[c], 8 * lane).bitwiseAND(F.lit(127)))  # noqa: B023
-            bit = 8 * lane + k
-            long_ = long_.bitwiseOR(F.when(total * 2 > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint"))
-    own = [c for c in rows.columns if c not in ("__a", "__r", "n")]
-    return rows.select(*own, F.when(F.col("n").isNotNull(), F.when(F.col("__r").isNull(), s).otherwise(long_)).alias("s"))
+    nothing = F.lit(0).cast("bigint")
+    starts = F.sequence(F.lit(0), F.expr(f"(size(x) - 1) div {RUN}"))
+    rows = rows.select(*keep, F.when(F.col("x").isNotNull(), F.size("x")).alias("n"), F.when(F.size("x") > 0, F.transform(starts, lambda i: F.slice("x", i * RUN + 1, RUN))).alias("r"))
+
+    def count(j: int) -> Column:
+        return F.transform("r", lambda run: F.aggregate(run, nothing, lambda t, h: t + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(NIBBLES))))
+
+    rows = rows.select(*keep, "n", *[count(j).alias(f"l{j}") for j in range(4)])
+    wide = lambda j, k: F.aggregate(f"l{j}", nothing, lambda t, v: t + F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(WIDE)))
+    rows = rows.select(*keep, "n", *[f"l{j}" for j in range(4)], *[F.when(F.col("n") <= MOST, wide(j, k)).alias(f"v{4 * k + j}") for j in range(4) for k in range(4)])
+    add = (F.lit(0x3FFF) - F.expr("n div 2")).cast("bigint") * F.lit(0x0001000100010001)
+    short, long_ = nothing, nothing
+    for i in range(16):
+        top = F.shiftrightunsigned(F.col(f"v{i}") + add, 14).bitwiseAND(F.lit(0x0001000100010001))
+        short = short.bitwiseOR(F.shiftleft(top, i))
+    for bit in range(BITS):
+        total = F.aggregate(f"l{bit % 4}", nothing, lambda t, v: t + F.shiftrightunsigned(v, bit // 4 * 4).bitwiseAND(F.lit(15)))  # noqa: B023
+        long_ = long_.bitwiseOR(F.when(total * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+    return rows.select(*keep, F.when(F.col("n") <= MOST, short).when(F.col("n") > MOST, long_).alias("s"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """doc_id, line, h (of the normalised line), s (its SimHash; null for short lines) for all lines but white space; no shuffle."""
     lines = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.where(F.col("raw").rlike(r"[^\s\p{Z}]")).select("doc_id", "line", "raw", words_of(F.col("raw")).alias("w"))
+    lines = lines.where(F.col("raw").rlike(r"[^\s\p{Z}]")).select("doc_id", "line", "raw", normal(F.col("raw")).alias("norm"))
+    lines = lines.select("doc_id", "line", "raw", "norm", F.split("norm", " ").alias("w"))
     few = F.size("w") < MIN_WORDS
-    lines = lines.select("doc_id", "line", "raw", "w", few.alias("few"), F.when(few, F.array_join("w", " ")).alias("norm"))
-    short = F.col("few") & (F.length("norm") < MIN_CHARS)
+    short = few & (F.length("norm") < MIN_CHARS)
     # an h of its own kind: no normalised line has it
     exact = F.xxhash64(F.lit("short"), F.trim(F.regexp_replace(F.lower("raw"), r"[\s\p{Z}]+", " ")))
-    chars = F.when(F.col("few") & ~short, F.split("norm", ""))
-    lines = lines.select("doc_id", "line", "w", "few", F.when(short, exact).otherwise(F.xxhash64("w")).alias("h"), chars.alias("c"))
+    lines = lines.select("doc_id", "line", "w", few.alias("few"), F.when(short, exact).otherwise(F.xxhash64("norm")).alias("h"), F.when(few & ~short, F.split("norm", "")).alias("c"))
     threes = F.transform("c", lambda c, i: F.xxhash64(c, F.get("c", i + 1), F.get("c", i + 2)))
     lines = lines.select("doc_id", "line", "h", F.when(F.col("few"), threes).otherwise(F.transform("w", lambda w: F.xxhash64(w))).alias("x"))
-    lines = lines.select("doc_id", "line", "h", "x", F.when(F.col("x").isNotNull(), F.size("x")).alias("n"))
-    return simhash(F.col("x"), F.col("n"), lines, [F.col("doc_id"), F.col("line"), F.col("h")])
+    # each word once: else a few frequent words would decide on long lines, and all of these would be near
+    return simhash(lines.withColumn("x", F.array_distinct("x")), ["doc_id", "line", "h"])
 
 
 def block_keys(s: Column) -> Column:
-    """Array of join keys: each pair of blocks with the pair's number; near SimHashes share one."""
-    cuts = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+    """Array of join keys: each choice of blocks with its number; near SimHashes share one."""
+    cuts = [round(BITS * i / BLOCKS) for i in range(BLOCKS + 1)]
     width = max(b - a for a, b in zip(cuts, cuts[1:]))
     block = [F.shiftrightunsigned(s, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    chosen = combinations(range(BLOCKS), BLOCKS - NEAR_BITS)
-    return F.array(*[F.shiftleft(F.lit(k).cast("bigint"), 2 * width).bitwiseOR(F.shiftleft(block[i], width)).bitwiseOR(block[j]) for k, (i, j) in enumerate(chosen)])
+    keys = []
+    for k, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - NEAR_BITS)):
+        key = F.lit(k).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(block[i])
+        keys.append(key)
+    return F.array(*keys)
 
 
 def _near(a: str, b: str) -> Column:
@@ -113,9 +116,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b")
     longer = F.greatest(F.length("ta"), F.length("tb"))
     both = both.select("a", "b", "ta", "tb", longer.alias("longer"), F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int").alias("most"), F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"))
-    # changing word after word is one way from a to b, so its cost proves most pairs; the others are measured
+    # changing word after word is one way from a to b, and changing all between the first and the last
+    # different word another: their costs prove most pairs, the others are measured
     change = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda t, x: t + x)
-    near = F.when((F.size("wa") == F.size("wb")) & (change <= F.col("most")), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int") - 1
+    both = both.select("*", same(F.col("wa"), F.col("wb")).alias("p"), same(F.reverse("wa"), F.reverse("wb")).alias("q"))
+    tail = F.least("q", F.least(F.size("wa"), F.size("wb")) - F.col("p"))
+    between = lambda w: F.length(F.array_join(F.slice(w, F.col("p") + 1, F.greatest(F.size(w) - F.col("p") - tail, F.lit(0))), " "))
+    # a word that goes takes a space with it
+    middle = F.greatest(between("wa"), between("wb")) + 1
+    near = F.when((F.size("wa") == F.size("wb")) & (change <= F.col("most")), True).when(middle <= F.col("most"), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
     return both.where(F.col("longer") * 2 - F.length("ta") - F.length("tb") <= F.col("most")).where(near).select("a", "b")
 
 
@@ -133,10 +143,10 @@ def near_edges(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     members = members.withColumn("key", F.when(F.col("key") < 0, F.xxhash64("s")).otherwise(F.col("key")))
     wanted = cut(members.select("h", "doc_id", "line").distinct())
     few = wanted.count() <= BROADCAST_ROWS
-    side = (F.broadcast(wanted) if few else wanted).withColumnRenamed("doc_id", "__id")
-    source = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull())
-    texts = source.select("h", words_of(F.get(F.split("text", "\n"), F.col("line"))).alias("w")).where(F.xxhash64("w") == F.col("h"))
-    texts = cut(texts.groupBy("h").agg(F.min(F.array_join("w", " ")).alias("norm")))
+    side = (F.broadcast(wanted) if few else wanted).withColumnRenamed("doc_id", "id")
+    source = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text").isNotNull())
+    texts = source.select("h", normal(F.get(F.split("text", "\n"), F.col("line"))).alias("norm")).where(F.xxhash64("norm") == F.col("h"))
+    texts = cut(texts.groupBy("h").agg(F.min("norm").alias("norm")))
     members = members.select("key", "h", "s")
     first = members.groupBy("key").agg(F.min(F.struct("h", "s")).alias("f"))
     led = cut(members.join(first, "key").select("key", "h", "s", F.col("f.h").alias("fh"), F.col("f.s").alias("fs")))
@@ -163,11 +173,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All rows of docs with their columns; text without the lines that go. Adds `removed`, the numbers of these."""
-    gone = cut(removed_lines(docs)).withColumnsRenamed({"doc_id": "__id", "lines": "__gone"})
+def dedup(docs: DataFrame, removed: str = "removed") -> DataFrame:
+    """All rows of docs with their columns; text without the lines that go.
+
+    A last column `removed`, the numbers of these lines, takes the place of one of that name.
+    """
+    own_id, lost = unused(docs, "id"), unused(docs, "gone")
+    gone = cut(removed_lines(docs.select("doc_id", "text"))).withColumnsRenamed({"doc_id": own_id, "lines": lost})
     # grows with the input, hence the same plan at every size
-    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("__gone", F.array().cast("array<int>")).alias("removed"))
+    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    split = unused(docs, "split")
+    out = out.withColumn(split, F.when(F.col(lost).isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
+    # a null text can share its doc_id with one that loses lines
+    text = F.when(F.col(split).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != removed], F.coalesce(lost, F.array().cast("array<int>")).alias(removed))
