@@ -65,16 +65,36 @@ def test_components(spark):
 # 1 and 4: classifiers
 
 
-@pytest.mark.parametrize("op,label,least", [(toxicity, "toxic", 0.9), (quality, "quality", 0.9)])
-def test_held_out_accuracy(spark, op, label, least):
-    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+def area(score, y):
+    """Area under the curve: the share of pairs of both classes that are in order."""
+    up, down = score[y == 1], score[y == 0]
+    return float(((up[:, None] > down) + 0.5 * (up[:, None] == down)).mean())
+
+
+# at the small size 6 of 70 held-out rows are toxic and 11 of bad quality; at the larger one 97 and 122 of 825
+@pytest.mark.parametrize("op,label,sf,recall,precision,auc", [(toxicity, "toxic", BIG, 0.65, 0.5, 0.8), (toxicity, "toxic", "/root/testdata/sf0.1", 0.85, 0.85, 0.95), (quality, "quality", BIG, 0.95, 0.95, 0.9), (quality, "quality", "/root/testdata/sf0.1", 0.95, 0.95, 0.98)])
+def test_held_out_accuracy(spark, op, label, sf, recall, precision, auc):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = op.score(docs, labels).join(labels, "doc_id").toPandas()
     assert ((out.held_out) == out.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
     held = out[out.held_out]
-    assert len(held) > 50 and (held.predicted == held[label]).mean() >= least
+    y, said = held[label].to_numpy(), held.predicted.to_numpy()
+    assert len(held) > 50
+    assert (said[y == 1]).mean() >= recall and y[said == 1].mean() >= precision and area(held.score.to_numpy(), y) >= auc
     assert out.score.between(0, 1).all() and (out.predicted == (out.score >= op.CUTOFF)).all()
 
 
+def test_samples_are_whole_texts_within_bounds(spark):
+    long = "w" * 5000 + " idiot"
+    docs = docs_of(spark, ["a b"] * 50 + [long, None, "x" * 20_000])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(53)] + [(None, 1), (None, 0), (7, None), (8, 5)], "doc_id long, toxic int")
+    rows = quality.sample(docs, labels, "toxic", 100, 1 << 20, 10_000)
+    assert {t for t, _ in rows} >= {"a b"} and all(t in ("a b", long, "") for t, _ in rows)
+    few = quality.sample(docs, labels, "toxic", 4, 1 << 20, 10_000)
+    assert Counter(y for _, y in few)[0] <= 4 and Counter(y for _, y in few)[1] <= 4
+    assert sum(len(t) for t, y in quality.sample(docs, labels, "toxic", 100, 30, 10_000) if y) <= 30
+
+
 @pytest.mark.parametrize("op", [toxicity, quality])
 def test_classifiers_take_anything(spark, op):
     texts = [None, "", "x" * 200_000, "a b", "a b", " "]
@@ -83,7 +103,7 @@ def test_classifiers_take_anything(spark, op):
     assert len(out) == 6 and {r.score for r in out} == {0.5}
     bad, good = ["%% ## idiot %%"] * 30, ["the quiet river runs"] * 30
     docs = docs_of(spark, [b + f" {i}" for i, b in enumerate(bad + good)] + texts)
-    labels = spark.createDataFrame([(i, int(i >= 30), int(i < 30)) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i >= 30), int(i < 30)) for i in range(60)] + [(None, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in op.score(docs, labels.withColumn("text", F.lit(1))).collect()}
     assert len(got) == 66 and got[63].score == got[64].score and got[60].score == got[61].score
     assert op.score(docs.limit(0), labels).count() == 0
@@ -92,7 +112,7 @@ def test_classifiers_take_anything(spark, op):
 def test_gradients_are_right():
     p = {k: v.astype(float) for k, v in toxicity._fresh(1).items()}
     g = np.random.default_rng(2)
-    x, index, y = g.normal(size=(9, 24)), g.integers(0, 9, (3, toxicity.SPAN)), np.array([0.0, 1, 1])
+    x, index, y = g.normal(size=(9, toxicity.DIM_WORD + toxicity.DIM_CHAR)), g.integers(0, 9, (3, toxicity.SPAN)), np.array([0.0, 1, 1])
     index[1, 5:] = -1
     w = np.array([1.0, 2, 1])
     grads, dx, _ = toxicity.gradients(p, x, index, y, w)
@@ -134,14 +154,18 @@ def test_chat_round_trip(spark):
     want = defaultdict(list)
     for c, t, role, text, _ in rows:
         want[c].append((t, role or "", text or ""))
-    esc = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
-    assert {c: sorted((t, esc(r).replace("\n", "<\\.|"), esc(x)) for t, r, x in v) for c, v in want.items()}.keys() == back.keys()
-    for c, v in want.items():
-        v = sorted(v, key=lambda r: (r[0], esc(r[1]).replace("\n", "<\\.|"), esc(r[2])))
-        assert back[c] == [(r, x) for _, r, x in v], c
+    assert want.keys() == back.keys()
+    for c, v in want.items():  # ties of a turn by role and text as they are
+        assert back[c] == [(r, x) for _, r, x in sorted(v)], c
     assert chat.format_turns(turns.limit(0)).count() == 0
 
 
+def test_chat_ties_stand_in_raw_order(spark):
+    rows = [(1, 0, "user", "<|x"), (1, 0, "user", "<a"), (1, 0, "user", "<a"), (1, 1, "user", "w " * 50_000)]
+    back = chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [t.text for t in back.turns] == ["<a", "<a", "<|x", "w " * 50_000]
+
+
 def test_chat_merges_and_digests(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b")]
     f = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
@@ -203,6 +227,15 @@ def test_decontamination_takes_large_vocabularies(spark):
     assert [r.n_hit for r in sorted(got)] == [10, 0, 3, 0, 11]
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = docs_of(spark, ["k l m", "n o p", None, "p q " * 40_000]).withColumns({c: F.lit(5) for c in ("n", "spans", "items", "N_", "__n", "__spans", "__items")})
+    bench = spark.createDataFrame([(None, "k l"), (3, None), (4, "o"), (4, "p q p")], "item_id long, text string")
+    rows = decontam.remove(docs, bench).collect()
+    assert [r.asDict() for r in rows] == [r.asDict() for r in docs.where("doc_id = 2").collect()]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.report(docs, bench).collect()}
+    assert got == {0: (3, 2, 1), 1: (3, 1, 1), 2: (0, 0, 0), 3: (80_000, 79_999 + 0, 1)} or got[3] == (80_000, 79_999, 1)
+
+
 def test_longest_matches():
     items = [("a", "p q r s t u v w x y z"), ("b", "k l")]
     bench = decontam.Benchmark(items)
@@ -275,6 +308,11 @@ def test_ngram_join_takes_empty_and_repeated(spark):
     assert [tuple(r) for r in ngram_join.join(docs.unionAll(docs)).collect()] == [(0, 2, 0)] * 2
 
 
+def test_ngram_join_keeps_columns_of_any_name(spark):
+    docs = docs_of(spark, ["a b c d e f"] * 3 + [None, "z " * 60_000]).withColumns({c: F.lit(5) for c in ("id", "ID_", "__id", "component_id", "n_shingles")})
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {0, 3, 4} and ngram_join.keep_one(docs).columns == docs.columns
+
+
 def test_rtree_finds_all():
     g = np.random.default_rng(1)
     sets = [np.unique(g.integers(0, 1 << 62, g.integers(20, 200)).astype(np.uint64)) for _ in range(150)]
@@ -305,7 +343,7 @@ def brute_lines(docs):
     lines = []
     for i, t in docs:
         for k, raw in enumerate((t or "").split("\n")):
-            w = [x for x in re.split(r"[\W\d_]+", raw.lower()) if x]
+            w = [x for x in re.split(r"[\W_]+", raw.lower()) if x]
             if t and len(w) >= line_dedup.MIN_WORDS:
                 lines.append((i, k, tuple(w), simhash(w)))
     kinds = {}
@@ -322,7 +360,7 @@ def brute_lines(docs):
     for a in ws:
         for b in ws:
             x, y = " ".join(a), " ".join(b)
-            if a < b and bin(kinds[a][2] ^ kinds[b][2]).count("1") <= line_dedup.NEAR_BITS and edits(x, y) <= int(max(len(x), len(y)) * (1 - line_dedup.SIMILARITY) + 1e-9):
+            if a < b and bin(kinds[a][2] ^ kinds[b][2]).count("1") <= 3 and edits(x, y) <= int(max(len(x), len(y)) * (1 - line_dedup.SIMILARITY) + 1e-9):
                 parent[root(a)] = root(b)
     keep = {}
     for w in ws:
@@ -346,12 +384,13 @@ def edits(a, b):
 def simhash(ws):
     import xxhash
 
-    counts = [0] * 64
+    counts = [0] * 60
+    ws = {*ws}
     for w in ws:
         h = xxhash.xxh64(w.encode(), seed=42).intdigest()
-        for k in range(64):
+        for k in range(60):
             counts[k] += h >> k & 1
-    return sum(1 << k for k in range(64) if 2 * counts[k] > len(ws))
+    return sum(1 << k for k in range(60) if 2 * counts[k] > len(ws))
 
 
 def test_line_dedup(spark):
@@ -359,6 +398,7 @@ def test_line_dedup(spark):
     vocabulary = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
     bases = [[g.choice(vocabulary) for _ in range(g.randint(2, 40))] for _ in range(6)]
     bases.append([g.choice(vocabulary) for _ in range(300)])
+    assert (line_dedup.NEAR_BITS, line_dedup.BITS, line_dedup.SIMILARITY) == (3, 60, 0.8)
 
     def line():
         w = list(g.choice(bases))
@@ -382,8 +422,8 @@ def test_line_dedup(spark):
 
 def test_all_simhashes_within_three_bits_meet(spark):
     g = random.Random(12)
-    base = g.getrandbits(63)
-    far = [base ^ sum(1 << b for b in g.sample(range(63), 3)) for _ in range(300)]
+    base = g.getrandbits(60)
+    far = [base ^ sum(1 << b for b in g.sample(range(60), 3)) for _ in range(300)]
     rows = spark.createDataFrame([(base, x) for x in far], "a long, b long")
     met = F.arrays_overlap(line_dedup.block_keys(F.col("a")), line_dedup.block_keys(F.col("b"))) & line_dedup._near("a", "b")
     assert rows.where(met).count() == len(far)
@@ -395,7 +435,31 @@ def test_short_lines_repeat_exactly(spark):
     got = {r.doc_id: r.removed for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
     assert {i: r for i, r in got.items() if i < 5} == {0: [], 1: [0, 2], 2: [1, 4], 3: [], 4: [1]}
     s = {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts[3:])).where("line = 0").collect()}
-    assert s[1] is None and (bin((s[0] ^ s[2]) & (1 << 64) - 1).count("1") <= 3) == (got[5] == [0])
+    assert s[1] is None and (bin(s[0] ^ s[2]).count("1") <= 3) == (got[5] == [0])
+
+
+def test_simhash_of_long_lines(spark, monkeypatch):
+    g = random.Random(14)
+    texts = [" ".join(g.sample([f"w{k}" for k in range(17_000)], n)) for n in (4, 15, 16, 45, 46, 300, 17_000)]
+    want = {i: simhash(t.split(" ")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts)).collect()} == want
+    monkeypatch.setattr(line_dedup, "MOST", 45)
+    assert {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts[:-1])).collect()} == {i: want[i] for i in range(6)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "one two three four five six"
+    docs = docs_of(spark, [line + "\nx y", line + "\nz " + "w " * 60_000, None]).withColumns({c: F.lit(5) for c in ("id", "gone", "removed", "__id", "__gone", "line", "h")})
+    out = line_dedup.dedup(docs.unionAll(docs.where("doc_id = 2").withColumn("doc_id", F.lit(1).cast("long"))))
+    assert out.columns == [*(c for c in docs.columns if c != "removed"), "removed"]
+    got = sorted((r.doc_id, r.text is None, r.removed, r.gone) for r in out.collect())
+    assert got == [(0, False, [], 5), (1, False, [0], 5), (1, True, [0], 5), (2, True, [], 5)]
+
+
+def test_digits_count_in_lines(spark):
+    texts = ["Total amount due 12 May", "Total amount due 98 May", "Total Amount Due: 12 May"]
+    h = {r.doc_id: r.h for r in line_dedup.line_hashes(docs_of(spark, texts)).collect()}
+    assert h[0] == h[2] != h[1]
 
 
 def test_line_dedup_is_native(spark):
@@ -427,9 +491,20 @@ def test_rules(spark):
 
 
 def test_order_of_rules_changes_nothing():
-    column = pa.array(some_texts(10, 100))
+    column = pa.array(some_texts(10, 100, ["a", "b\n", "é", "#", "!", "AB", "lower", "x y z"]))
     a, b = (rules.verdicts(column, list(o)) for o in (rules.RULES, reversed(rules.RULES)))
-    assert (a["kept"] == b["kept"]).all()
+    assert (a["kept"] == b["kept"]).all() and 0 < a["kept"].sum() < len(column)
+    for order in (list(rules.ALL), list(reversed(rules.ALL))):
+        got = [rules.cascade(rules.Features(c), order) for c in kernel.chunks(column, 500)]
+        assert (np.concatenate(got) == a["kept"]).all()
+
+
+def test_cascade_asks_later_rules_for_documents_left_only(monkeypatch):
+    c = next(kernel.chunks(pa.array(["a"] * 9 + ["b c d e f g h i j k l"])))
+    seen = []
+    monkeypatch.setitem(rules.ALL, "bangs", lambda f: seen.append(f.c.n) or np.zeros(f.c.n, bool))
+    assert rules.cascade(rules.Features(c), ["few_words", "bangs"]).tolist() == [False] * 9 + [True] and seen == [1]
+    assert rules.cascade(rules.Features(c), ["bangs"], np.zeros(10, bool)).sum() == 0 and seen == [1]
 
 
 def test_rules_keep_good_and_reject_bad(spark):
@@ -483,6 +558,24 @@ def test_packing(spark, tokens):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, packing.pieces(docs, tokens, block_rows=40).collect()))
 
 
+def test_pack_takes_anything():
+    for lengths in ([], [1], [1023] * 3, [512] * 5, [341, 341, 342] * 4, [700, 300, 24, 1]):
+        x = np.array(lengths, np.int64)
+        seq, off = packing.pack(x)
+        assert sorted(lengths) == sorted(x[k] for s in set(seq.tolist()) for k in np.flatnonzero(seq == s))
+        assert all(x[seq == s].sum() <= 1024 for s in set(seq.tolist())) and len(seq) == len(off) == len(x)
+    assert len(set(packing.pack(np.array([341, 341, 342] * 4))[0].tolist())) == 4
+
+
+def test_least_squares_finds_repeat_counts():
+    count = np.zeros(1025)
+    patterns = packing.combinations(np.isin(np.arange(1025), [100, 924, 300, 724, 341, 342]), 1024)
+    assert sorted(map(tuple, patterns.tolist())) == [(342, 341, 341), (724, 300, 0), (924, 100, 0)]
+    count[[100, 924, 300, 724, 342]], count[341] = [7, 7, 3, 3, 5], 10
+    x = dict(zip(map(tuple, patterns.tolist()), packing.nnls(patterns, count)))
+    assert x == pytest.approx({(342, 341, 341): 5, (724, 300, 0): 3, (924, 100, 0): 7}, abs=0.05)
+
+
 def test_pack_fills_windows():
     g = np.random.default_rng(3)
     lengths = g.integers(1, 1024, 8000)
@@ -601,6 +694,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, rows, SF).collect()} == after.keys()
 
 
+def test_stages_take_nulls_and_columns_of_any_name(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = "The quiet river runs past the old mill and on to the wide and open sea tonight."
+    texts = [None, "", good, good, good + "\n" + "A second line of words that stands here only once, as far as we know.", "word " * 50_000]
+    docs = docs_of(spark, texts).withColumns({c: F.lit(5) for c in ("id", "gone", "removed", "n", "spans", "items", "__id", "component_id", "kept")})
+    docs = docs.unionAll(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == docs.columns
+        assert all(r.id == r.gone == r.n == r.spans == r.items == r.removed == r["__id"] == 5 for r in rows.collect())
+    assert pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count() > 0
+
+
 def test_pipeline_takes_an_empty_table(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = docs_of(spark, []).limit(0)
