@@ -68,9 +68,14 @@ def explode_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.explode_frames(emb_frames(spark, sf_dir)))
 
 
+def whole(pixels: str) -> Column:
+    """All pixels of a frame in millionths, as one text."""
+    return F.array_join(F.transform(pixels, lambda x: F.floor(x * 1e6 + 0.5).cast("bigint").cast("string")), ",")
+
+
 def assemble_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.assemble_frames(emb(spark, sf_dir))
-    return rows.select(*FRAME_KEY, "height", "width", F.round(F.get("pixels", F.lit(9)), 6).alias("p9"), F.size("pixels").alias("n"))
+    return rows.select(*FRAME_KEY, "height", "width", whole("pixels").alias("pixels"), F.size("pixels").alias("n"))
 
 
 def rasterize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +91,7 @@ def flip_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.slice_frames(emb_frames(spark, sf_dir).select(*FRAME_KEY, F.round(F.get("pixels", F.lit(0)), 6).alias("p0")), 3, -2, 4)
+    return model.slice_frames(emb_frames(spark, sf_dir).select(*FRAME_KEY, whole("pixels").alias("pixels")), 3, -2, 4)
 
 
 def frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,11 +350,11 @@ def oracle_sql() -> dict[str, str]:
     default = c().fit(1).fit(2).high(0.5).medians().fit(2).centred().sql(5)
     return {
         "explode_frames": c().sql(),
-        "assemble_frames": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, 8 AS height, 8 AS width, round(CAST(embedding[10] AS DOUBLE), 6) AS p9, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
+        "assemble_frames": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, 8 AS height, 8 AS width, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') AS pixels, CAST(len(embedding) AS INTEGER) AS n FROM embeddings",
         "rasterize_events": c(_EV).sql(4),
         "rasterize_lineitem": c(_LI).sql(2),
         "flip_vertical": _simple(f"stack_id, frame_idx, CAST(7 - y AS INTEGER) AS y, x, {_r('z')} AS z"),
-        "slice_frames": "SELECT stack_id, CAST((k - 3) // 4 AS INTEGER) AS frame_idx, p0 FROM (SELECT CAST(label AS VARCHAR) AS stack_id, round(CAST(embedding[1] AS DOUBLE), 6) AS p0, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE k >= 3 AND k < n - 2 AND (k - 3) % 4 = 0",
+        "slice_frames": "SELECT stack_id, CAST((k - 3) // 4 AS INTEGER) AS frame_idx, pixels FROM (SELECT CAST(label AS VARCHAR) AS stack_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') AS pixels, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE k >= 3 AND k < n - 2 AND (k - 3) % 4 = 0",
         "frame_at": c().sql() + " WHERE frame_idx = 7",
         "frame_meta": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CASE WHEN vec_id % 3 = 0 THEN vec_id * 0.5::DOUBLE END AS timestamp_s, CASE WHEN vec_id % 3 = 0 THEN 'ch' || (vec_id % 2) ELSE 'height_trace' END AS channel, CASE WHEN vec_id % 3 = 0 THEN '{\"timestamp_s\":' || (vec_id * 0.5::DOUBLE) || ',\"own\":\"ch' || (vec_id % 2) || '\"}' ELSE '{}' END AS json FROM embeddings",
         "generate_timestamps": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CASE WHEN vec_id % 4 > 0 THEN vec_id * (8.0::DOUBLE / (vec_id % 4)) END AS timestamp_s, CASE WHEN vec_id % 4 > 0 THEN (vec_id % 4) / 8.0::DOUBLE ELSE 1.0 END AS fps FROM embeddings",
