@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stackloom.llm.spark import components, cut, unused
+from stackloom.llm.spark import components, cut, let_go, unused
 
 BITS = 60
 NEAR_BITS = 3
@@ -164,6 +164,7 @@ def near_edges(kinds: DataFrame, docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, lines: the numbers of the lines that go, for documents that lose any."""
     lines = cut(line_hashes(docs))
+    let_go(docs.sparkSession)
     kinds = cut(lines.groupBy("h", "s").agg(F.min(F.struct("doc_id", "line")).alias("k"), F.count("*").alias("n")).select("h", "s", "n", "k.doc_id", "k.line"))
     comp = components(near_edges(kinds.where(F.col("s").isNotNull()), docs))
     grouped = kinds.join(comp, F.col("h") == F.col("node"), "left").select("h", "n", F.coalesce("component", "h").alias("c"), F.col("component").isNotNull().alias("near"), "doc_id", "line")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm import kernel as K
-from stackloom.llm.spark import components, cut, parts, tidy, unused
+from stackloom.llm.spark import components, cut, let_go, parts, tidy, unused
 
 SHINGLE = 5
 PERCENT = 75
@@ -414,6 +414,7 @@ def join(docs: DataFrame) -> DataFrame:
     postings = docs.select("text").mapInArrow(tidy(_postings(levels, many)), "part int, keys binary, classes binary")
     members = cut(postings.repartition(many, "part").mapInArrow(tidy(_runs), "run bigint, c bigint").distinct())
 
+    let_go(spark)
     stars = cut(stars_of(members))
     points = cut(texts_of(stars.select("c").unionAll(stars.select("g")).distinct(), classes, docs).mapInArrow(tidy(_points), "c bigint, n bigint, point binary"))
     links = cut(verified(cut(searched(led(stars), points)), classes, docs))

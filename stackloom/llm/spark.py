@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark drops shuffles, broadcasts and plans that nothing refers to.
+
+    It does so by itself only when the heap is full or after ``spark.cleaner.periodicGC.interval``;
+    rounds of joins fill heap and disks much sooner.
+    """
+    gc.collect()  # Python's references keep the JVM's objects
+    spark._jvm.java.lang.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_made):
@@ -119,6 +130,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
+    let_go(edges.sparkSession)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
