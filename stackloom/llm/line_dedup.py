@@ -40,8 +40,10 @@ BROADCAST_ROWS = 100_000
 #: Words counted together: a counter of 4 bits holds 15; the sum of two longs may not reach the 64th bit.
 RUN = 15
 NIBBLES = 0x0111111111111111
+BYTES = 0x0F0F0F0F0F0F0F0F
 WIDE = 0x000F000F000F000F
-#: Words counted by counters of 16 bits, of which the highest two stay free.
+#: Words counted by counters of 8 bits, of which the highest stays free, and of 16, of which the highest two do.
+FEW = 127
 MOST = 1092 * RUN
 
 
@@ -53,8 +55,9 @@ def normal(line: Column) -> Column:
 def simhash(rows: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` and s of rows with x, hashes of words: bit i is set if it is in more than half of them; null without x.
 
-    Four longs hold 60 counters of 4 bits for each run of 15 words; runs add up in 16 longs with
-    counters of 16 bits.  These are decided by adding the same number to all and looking at a high bit.
+    Four longs hold 60 counters of 4 bits for each run of 15 words; runs add up in 8 longs with
+    counters of 8 bits, or in 16 with counters of 16 bits for long lines.  These are decided by
+    adding the same number to all and looking at a high bit.
     """
     nothing = F.lit(0).cast("bigint")
     starts = F.sequence(F.lit(0), F.expr(f"(size(x) - 1) div {RUN}"))
@@ -64,17 +67,21 @@ def simhash(rows: DataFrame, keep: list[str]) -> DataFrame:
         return F.transform("r", lambda run: F.aggregate(run, nothing, lambda t, h: t + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(NIBBLES))))
 
     rows = rows.select(*keep, "n", *[count(j).alias(f"l{j}") for j in range(4)])
-    wide = lambda j, k: F.aggregate(f"l{j}", nothing, lambda t, v: t + F.shiftrightunsigned(v, 4 * k).bitwiseAND(F.lit(WIDE)))
-    rows = rows.select(*keep, "n", *[f"l{j}" for j in range(4)], *[F.when(F.col("n") <= MOST, wide(j, k)).alias(f"v{4 * k + j}") for j in range(4) for k in range(4)])
-    add = (F.lit(0x3FFF) - F.expr("n div 2")).cast("bigint") * F.lit(0x0001000100010001)
-    short, long_ = nothing, nothing
-    for i in range(16):
-        top = F.shiftrightunsigned(F.col(f"v{i}") + add, 14).bitwiseAND(F.lit(0x0001000100010001))
-        short = short.bitwiseOR(F.shiftleft(top, i))
+
+    def majority(width: int, mask: int, ones: int) -> Column:
+        """From counters of `width` bits; counter i of the long for (j, k) is that of bit i * width + 4 * k + j."""
+        add = (F.lit((1 << (width - 2)) - 1) - F.expr("n div 2")).cast("bigint") * F.lit(ones)
+        out = nothing
+        for i in range(width):
+            total = F.aggregate(f"l{i % 4}", nothing, lambda t, v: t + F.shiftrightunsigned(v, i // 4 * 4).bitwiseAND(F.lit(mask)))  # noqa: B023
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(total + add, width - 2).bitwiseAND(F.lit(ones)), i))
+        return out
+
+    short, middle, long_ = majority(8, BYTES, 0x0101010101010101), majority(16, WIDE, 0x0001000100010001), nothing
     for bit in range(BITS):
         total = F.aggregate(f"l{bit % 4}", nothing, lambda t, v: t + F.shiftrightunsigned(v, bit // 4 * 4).bitwiseAND(F.lit(15)))  # noqa: B023
         long_ = long_.bitwiseOR(F.when(total * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-    return rows.select(*keep, F.when(F.col("n") <= MOST, short).when(F.col("n") > MOST, long_).alias("s"))
+    return rows.select(*keep, F.when(F.col("n") <= FEW, short).when(F.col("n") <= MOST, middle).when(F.col("n") > MOST, long_).alias("s"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -181,8 +188,8 @@ def dedup(docs: DataFrame, removed: str = "removed") -> DataFrame:
     """
     own_id, lost = unused(docs, "id"), unused(docs, "gone")
     gone = cut(removed_lines(docs.select("doc_id", "text"))).withColumnsRenamed({"doc_id": own_id, "lines": lost})
-    # grows with the input, hence the same plan at every size
-    out = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
+    # grows with the input, hence the same plan at every size; texts are hashed to their lines, not sorted
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own_id)), "left")
     split = unused(docs, "split")
     out = out.withColumn(split, F.when(F.col(lost).isNotNull(), F.split("text", "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))

@@ -440,11 +440,11 @@ def test_short_lines_repeat_exactly(spark):
 
 def test_simhash_of_long_lines(spark, monkeypatch):
     g = random.Random(14)
-    texts = [" ".join(g.sample([f"w{k}" for k in range(17_000)], n)) for n in (4, 15, 16, 45, 46, 300, 17_000)]
+    texts = [" ".join(g.sample([f"w{k}" for k in range(17_000)], n)) for n in (4, 15, 16, 45, 46, 127, 128, 300, 17_000)]
     want = {i: simhash(t.split(" ")) for i, t in enumerate(texts)}
     assert {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts)).collect()} == want
-    monkeypatch.setattr(line_dedup, "MOST", 45)
-    assert {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts[:-1])).collect()} == {i: want[i] for i in range(6)}
+    monkeypatch.setattr(line_dedup, "MOST", 127)
+    assert {r.doc_id: r.s for r in line_dedup.line_hashes(docs_of(spark, texts[:-1])).collect()} == {i: want[i] for i in range(8)}
 
 
 def test_line_dedup_keeps_columns_of_any_name(spark):
