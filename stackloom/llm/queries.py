@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and their SQL where SQL can say it."""
+"""Queries op1 to op13 over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, decontam, line_dedup, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
+from stackloom.llm import chat, decontam, fim, line_dedup, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +67,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge(_read(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(_read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters, op11_fill_in_middle)}
 
 
 _CHAT_SQL = r"""
@@ -122,4 +126,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": _DECONTAM_SQL,
         "op7_quality_rules": _RULES_SQL,
         "op10_url_filters": url_graph.oracle(),
+        "op11_fill_in_middle": fim.oracle(),
     }
