@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, decontam, fim, line_dedup, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
+from stackloom.llm import chat, decontam, fim, line_dedup, mixing, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,8 +71,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(_read(spark, sf_dir, "documents")))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters, op11_fill_in_middle, op12_source_mixing)}
 
 
 _CHAT_SQL = r"""

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -108,6 +108,19 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, name: str, *by: Column | str) -> DataFrame:
+    """df with a number from 0 in the order of `by`, in two phases: places within ranges, and how many rows the ranges before have.
+
+    No task sees more than a range of the rows; rows that are equal in `by` fall into one range.
+    """
+    at, first, keys = unused(df, "range"), unused(df, "first"), [F.col(k) if isinstance(k, str) else k for k in by]
+    ranges = cut(df.repartitionByRange(parts(df.sparkSession), *keys).withColumn(at, F.spark_partition_id()))
+    # a row for each range
+    before = ranges.groupBy(at).agg(F.count("*").alias(first)).withColumn(first, F.sum(first).over(Window.orderBy(at)) - F.col(first))
+    place = F.row_number().over(Window.partitionBy(at).orderBy(*keys)) - 1
+    return ranges.withColumn(name, place).join(before, at).withColumn(name, (F.col(name) + F.col(first)).cast("bigint")).drop(at, first)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of (a, b) bigint pairs: (node, component), component the least node.
 
