@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import chat, decontam, fim, line_dedup, mixing, ngram_join, packing, quality, rules, suffix_dedup, toxicity, url_graph
+from stackloom.llm import chat, decontam, fim, line_dedup, mixing, ngram_join, packing, quality, rules, source_audit, suffix_dedup, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +75,12 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters, op11_fill_in_middle, op12_source_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_formatting, op3_benchmark_decontamination, op4_quality_classifier, op5_ngram_jaccard_join, op6_line_dedup, op7_quality_rules, op8_packing, op9_suffix_dedup, op10_url_filters, op11_fill_in_middle, op12_source_mixing, op13_source_divergence)}
 
 
 _CHAT_SQL = r"""
@@ -131,4 +135,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": _RULES_SQL,
         "op10_url_filters": url_graph.oracle(),
         "op11_fill_in_middle": fim.oracle(),
+        "op13_source_divergence": source_audit.oracle(),
     }
