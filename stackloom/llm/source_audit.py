@@ -9,11 +9,12 @@ documents; each of its sources, and the language itself, gives each kept term th
 in whole numbers, N being its occurrences of the V kept terms.  ``pair``: for each two sources the
 sum of |p - q|; ``term``: for each source the TOP terms whose p exceeds the language's q by most.
 
-1. Each task adds the terms of its texts to a byte trie per language, whose leaves count documents,
-   and occurrences by source.  A trie of LEAVES counters is traversed and let go, so memory is bounded.
-2. Leaves are dealt out by ranges of (language, term): a task gets all leaves below some prefixes,
-   sorted, merges them into one trie, and drops what is behind the newest term as soon as the trie
-   holds LEAVES counters.  Kept terms leave it in UTF-8 order, numbered in blocks of BLOCK.
+1. Each task counts its texts chunk by chunk; what its chunks found is added up, and put into a byte
+   trie per language whose leaves hold documents, and occurrences by source.  Tries of COUNTERS
+   counters are traversed and let go, so memory is bounded.
+2. Leaves are dealt out by ranges of (language, term): a task gets all leaves below some prefixes.
+   Those of one term arrive together; terms of too few documents go, the others are merged in a trie
+   of at most BLOCK terms and leave it in UTF-8 order as a numbered block.
 3. A block of kept terms meets the sources of its language.  Traversed in UTF-8 order it gives
    partial sums of each pair and each source's best TOP terms, equal differences in order of the term.
    Sums are added up and candidates ranked in Spark.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,87 +44,80 @@ from stackloom.llm import kernel as K
 from stackloom.llm.spark import cut, parts, tidy
 
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-LEAVES, BLOCK, CELLS = 200_000, 4096, 1 << 20
+COUNTERS, BLOCK, CELLS = 1_000_000, 4096, 1 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
 class Trie:
-    """Byte trie with joined edges.  A node is [edge, children by first byte, leaf]; a leaf is [documents, {source: count}]."""
+    """Radix trie over bytes: a node is [edge, children by first byte or None, row numbers or None].
+
+    A leaf's counters stand in the rows of an Arrow table that its numbers point to, so adding a
+    leaf's rows to those of another trie's leaf is all that merging takes.
+    """
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.counters = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made where it is missing."""
-        node, at = self.root, 0
-        while at < len(term):
-            below = node[1].get(term[at])
+        self.root: list = [b"", None, None]
+        self.leaves = 0
+
+    def add(self, term: bytes, row: int) -> None:
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            below = children.get(term[at])
             if below is None:
-                below = node[1][term[at]] = [term[at:], {}, None]
-                node = below
+                node = children[term[at]] = [term[at:], None, None]
                 break
             edge = below[0]
             if term.startswith(edge, at):
                 node, at = below, at + len(edge)
                 continue
             same = 1
-            while same < len(edge) and at + same < len(term) and edge[same] == term[at + same]:
+            while same < len(edge) and at + same < end and edge[same] == term[at + same]:
                 same += 1
             middle = [edge[:same], {edge[same]: below}, None]
             below[0] = edge[same:]
-            node[1][term[at]] = middle
+            children[term[at]] = middle
             node, at = middle, at + same
         if node[2] is None:
-            node[2] = [0, {}]
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        own = leaf[1]
-        before = len(own)
-        for source, n in counts.items():
-            own[source] = own.get(source, 0) + n
-        self.counters += len(own) - before
-
-    def merge(self, other: Trie) -> None:
-        for term, (docs, counts) in other.walk():
-            self.add(term, docs, counts)
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves in order of bytes, which in UTF-8 is that of code points."""
+            node[2] = [row]
+            self.leaves += 1
+        else:
+            node[2].append(row)
+
+    def merge(self, other: Trie, shift: int = 0) -> None:
+        """Adds the leaves of a trie whose rows stand `shift` further down."""
+        for term, rows in other.walk():
+            for r in rows:
+                self.add(term, r + shift)
+
+    def walk(self) -> Iterator[tuple[bytes, list[int]]]:
+        """Terms and rows in order of bytes, which in UTF-8 is that of code points."""
         stack = [(b"", self.root)]
         while stack:
             before, node = stack.pop()
             term = before + node[0]
             if node[2] is not None:
                 yield term, node[2]
-            stack.extend((term, node[1][b]) for b in sorted(node[1], reverse=True))
+            if node[1] is not None:
+                stack.extend([(term, node[1][b]) for b in sorted(node[1], reverse=True)])
 
 
 LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+FOUND = pa.schema([("group", pa.int64()), ("term", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
 
 
-def _chunk_terms(c: K.Chunk, group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, term) of a chunk: the terms' bytes, groups, documents and occurrences of each."""
+def chunk_terms(c: K.Chunk, group: np.ndarray) -> pa.Table:
+    """Distinct (group, term) of a chunk, with the documents and occurrences of each."""
     start, end, first = c.words(LETTER)
     if not len(start):
-        return [], *(np.zeros(0, np.int64),) * 3
+        return FOUND.empty_table()
     prefix = c.prefix(True)
     h = K.hash_of(prefix, start, end)
     # a second hash, of other codes and a length, keeps different terms of equal hash apart
@@ -141,78 +136,142 @@ def _chunk_terms(c: K.Chunk, group: np.ndarray) -> tuple[list[bytes], np.ndarray
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(h)))
     docs = np.add.reduceat(new_doc.astype(np.int64), at)
-    raw = folded.tobytes()
-    return [raw[start[i] : end[i]] for i in order[at].tolist()], g[at], docs, n
+    lo, size = start[order[at]], (end - start)[order[at]]
+    stop = np.cumsum(size)
+    place = np.arange(stop[-1]) + np.repeat(lo - stop + size, size)
+    terms = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, stop).astype(np.int32)), pa.py_buffer(folded[place])])
+    return pa.Table.from_arrays([pa.array(g[at]), terms, pa.array(docs), pa.array(n)], schema=FOUND)
+
+
+def added_up(found: list[pa.Table]) -> pa.Table:
+    t = pa.concat_tables(found).group_by(["group", "term"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    return t.select(["group", "term", "docs_sum", "n_sum"]).rename_columns(FOUND.names)
 
 
-def leaves(docs: DataFrame, most: int = LEAVES) -> DataFrame:
+def leaves(docs: DataFrame, most: int = COUNTERS) -> DataFrame:
     """lang, term, docs, sources, counts: what the tries of the tasks hold, in the order of a traversal."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            tries: dict[str, Trie] = {}
-            for b in batches:
-                pairs = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-                known = {p: k for k, p in enumerate(dict.fromkeys(pairs))}
-                names, group = list(known), np.array([known[p] for p in pairs], np.int64)
-                for c in K.chunks(b.column(0)):
-                    for term, g, d, n in zip(*(x if isinstance(x, list) else x.tolist() for x in _chunk_terms(c, group[c.rows])), strict=True):
-                        lang, source = names[g]
-                        tries.setdefault(lang, Trie()).add(term, d, {source: n})
-                    if sum(t.counters for t in tries.values()) >= most:
-                        yield from walked(tries)
-                        tries = {}
-            yield from walked(tries)
-
-        def walked(tries: dict[str, Trie]) -> Iterator[tuple]:
-            for lang in sorted(tries):
-                for term, (d, counts) in tries[lang].walk():
-                    yield lang, term.decode(), d, list(counts), list(counts.values())
-
-        yield from _batches(out(), _LEAF)
+        known: dict[tuple[str, str], int] = {}
+        found: list[pa.Table] = []
+        held = 0
+        for b in batches:
+            pairs = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            group = np.array([known.setdefault(p, len(known)) for p in pairs], np.int64)
+            for c in K.chunks(b.column(0), 4 * K.CHUNK):
+                found.append(chunk_terms(c, group[c.rows]))
+                held += found[-1].num_rows
+                if held > most:
+                    found = [added_up(found)]
+                    held = found[0].num_rows
+                    if held > most // 2:
+                        yield from walked(found, known)
+                        found, held = [], 0
+        if held:
+            yield from walked(found, known)
+
+    def walked(found: list[pa.Table], known: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+        t, names = added_up(found), list(known)
+        g = t["group"].to_numpy()
+        of = pa.array([lang for lang, _ in names]).dictionary_encode()
+        t = t.append_column("lang", pa.array(of.indices.to_numpy()[g])).append_column("source", pa.array([s for _, s in names]).take(pa.array(g)))
+        t = t.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")]).combine_chunks()
+        for k, lang in enumerate(of.dictionary.to_pylist()):
+            own = t.filter(pc.equal(t["lang"], k))
+            trie = Trie()
+            for row, term in enumerate(own["term"].to_pylist()):
+                trie.add(term, row)
+            own = own.take(pa.array([r for _, rows in trie.walk() for r in rows], pa.int64()))
+            out = pa.Table.from_arrays([pa.array([lang] * own.num_rows, pa.string()), own["term"].cast(pa.string()), own["docs_sum"], own["source_list"].cast(pa.list_(pa.string())), own["n_list"].cast(pa.list_(pa.int64()))], schema=_LEAF)
+            yield from out.combine_chunks().to_batches(10_000)
 
     return rows.mapInArrow(run, LEAF)
 
 
-def kept_terms(found: DataFrame, min_docs: int = MIN_DOCS, most: int = LEAVES, block: int = BLOCK) -> DataFrame:
+def _merged(rows: pa.Table) -> pa.Table:
+    """Rows of some terms as one row for each, in UTF-8 order, by a trie."""
+    trie = Trie()
+    for row, term in enumerate(rows["term"].to_pylist()):
+        trie.add(term.encode(), row)
+    at, of, terms = [], [], []
+    for term, own in trie.walk():
+        at += own
+        of += [len(terms)] * len(own)
+        terms.append(term.decode())
+    rows = rows.take(pa.array(at, pa.int64())).combine_chunks()
+    of = np.array(of, np.int64)
+    many = np.repeat(of, pc.list_value_length(rows["sources"]).to_numpy())
+    flat = pa.table({"k": many, "source": pc.list_flatten(rows["sources"]), "n": pc.list_flatten(rows["counts"])})
+    flat = flat.group_by(["k", "source"], use_threads=False).aggregate([("n", "sum")]).group_by("k", use_threads=False).aggregate([("source", "list"), ("n_sum", "list")]).sort_by("k")
+    docs = np.bincount(of, rows["docs"].to_numpy().astype(float), len(terms)).astype(np.int64)
+    return pa.Table.from_arrays([rows["lang"].combine_chunks()[: len(terms)], pa.array(terms), pa.array(docs), flat["source_list"].cast(pa.list_(pa.string())), flat["n_sum_list"].cast(pa.list_(pa.int64()))], schema=_LEAF)
+
+
+def kept_terms(found: DataFrame, min_docs: int = MIN_DOCS, block: int = BLOCK) -> DataFrame:
     """The leaves of all tries merged by ranges of prefixes: terms of enough documents, with a block number."""
     ranges = found.repartitionByRange(parts(found.sparkSession), "lang", "term").sortWithinPartitions("lang", "term").withColumn("range", F.spark_partition_id())
     schema = _LEAF.append(pa.field("block", pa.int64()))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple]:
-            trie, now, last, at, number = Trie(), None, b"", 0, 0
-
-            def done(until: bytes | None) -> Iterator[tuple]:
-                for term, (docs, counts) in trie.walk():
-                    if term != until and docs >= min_docs:
-                        yield now, term.decode(), docs, list(counts), list(counts.values())
-
-            def numbered(rows: Iterator[tuple]) -> Iterator[tuple]:
-                nonlocal number
-                for row in rows:
-                    yield *row, (at << 32) + number // block
-                    number += 1
-
-            for b in batches:
-                cols = b.to_pydict()
-                for lang, term, docs, sources, counts, at in zip(*(cols[k] for k in ("lang", "term", "docs", "sources", "counts", "range")), strict=True):  # noqa: B007
-                    term = term.encode()
-                    if lang != now:
-                        yield from numbered(done(None))
-                        # a block is of one language
-                        trie, now, number = Trie(), lang, -(-number // block) * block
-                    elif trie.counters >= most and term != last:
-                        yield from numbered(done(None))
-                        trie = Trie()
-                    trie.add(term, docs, dict(zip(sources, counts, strict=True)))
-                    last = term
-            yield from numbered(done(None))
-
-        yield from _batches(out(), schema)
+        open_: pa.Table | None = None  # rows of the newest term, which may go on
+        held: list[pa.Table] = []  # rows of kept terms of one language
+        many, number, place = 0, 0, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal held, many, number
+            out = _merged(pa.concat_tables(held))
+            held, many, number = [], 0, number + 1
+            yield from out.append_column("block", pa.array([(place << 32) + number] * out.num_rows, pa.int64())).cast(schema).combine_chunks().to_batches()
+
+        def terms(t: pa.Table, last: bool) -> Iterator[pa.Table]:
+            """The rows of each language's terms of enough documents; the newest term waits unless it is the last."""
+            nonlocal open_
+            t = (t if open_ is None else pa.concat_tables([open_, t])).combine_chunks()
+            lang, term = t["lang"].combine_chunks(), t["term"].combine_chunks()
+            n = t.num_rows
+            new = np.ones(n, bool)
+            turn = np.zeros(n, bool)
+            turn[1:] = pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] = turn[1:] | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            stop = n if last else int(first[-1])
+            open_ = None if last else t.slice(stop)
+            first = first[first < stop]
+            if not len(first):
+                return
+            enough = np.add.reduceat(t["docs"].to_numpy()[:stop], first) >= min_docs
+            keep = np.repeat(enough, np.diff(np.append(first, stop)))
+            for part in np.split(np.arange(stop), np.flatnonzero(turn[:stop])):
+                rows = part[keep[part]]
+                yield t.take(pa.array(rows)).append_column("new", pa.array(new[rows]))
+
+        def blocks(t: pa.Table, last: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal many
+            for own in terms(t, last):
+                if held and own.num_rows and own["lang"][0] != held[0]["lang"][0]:
+                    yield from done()
+                starts = np.flatnonzero(own["new"].to_numpy(zero_copy_only=False))
+                own = own.drop_columns("new")
+                while len(starts):
+                    fit = block - many
+                    cut_at = own.num_rows if len(starts) <= fit else int(starts[fit])
+                    held.append(own.slice(0, cut_at))
+                    many += min(fit, len(starts))
+                    own, starts = own.slice(cut_at), starts[fit:] - cut_at
+                    if many == block or sum(t.num_rows for t in held) >= COUNTERS:
+                        yield from done()
+
+        for b in batches:
+            if b.num_rows:
+                place = b.column(5)[0].as_py()
+                yield from blocks(pa.Table.from_batches([b]).drop_columns("range"))
+        if open_ is not None:
+            yield from blocks(_LEAF.empty_table(), True)
+        if held:
+            yield from done()
 
     return ranges.mapInArrow(run, LEAF + ", block bigint")
 
@@ -243,7 +302,10 @@ def _compare(top: int):
         index = {s: k for k, s in enumerate(names)}
         below = groups["below"].to_numpy()
         everyone = groups["lang_below"][0].as_py()
-        order = sorted(range(terms.num_rows), key=[t.encode() for t in terms["term"].to_pylist()].__getitem__)
+        trie = Trie()
+        for row, term in enumerate(terms["term"].to_pylist()):
+            trie.add(term.encode(), row)
+        order = [r for _, rows in trie.walk() for r in rows]
         words = terms["term"].take(pa.array(order)).to_pylist()
         sources, counts = (terms[c].take(pa.array(order)).to_pylist() for c in ("sources", "counts"))
         m, step = len(names), max(1, CELLS // len(names))
@@ -274,7 +336,7 @@ def _compare(top: int):
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank of each source against the others and against its language."""
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    kept = cut(kept_terms(leaves(docs), min_docs))
+    kept = cut(kept_terms(cut(leaves(docs)), min_docs))
     counted = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
     groups = groups.join(counted, ["lang", "source"], "left").join(vocabulary, "lang", "left").na.fill(0, ["n", "v"])
