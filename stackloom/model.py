@@ -41,16 +41,24 @@ def by_row():
 
 
 def explode_frames(frames: DataFrame) -> DataFrame:
-    """Frame form to pixel form; width comes from each row."""
-    p = frames.select(*FRAME_KEY, "width", F.posexplode("pixels").alias("p", "z"))
-    return p.select(*FRAME_KEY, F.expr("p div width").cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), F.col("z").cast("double").alias("z"))
+    """Frame form to pixel form, with the mask if there is one; width comes from each row."""
+    carried = ["left"] if "left" in frames.columns else []
+    if "mask" in frames.columns:
+        p = frames.select(*FRAME_KEY, "width", *carried, F.posexplode(F.arrays_zip("pixels", "mask")).alias("p", "c"))
+        value = [F.col("c.pixels").cast("double").alias("z"), F.col("c.mask").alias("mask")]
+    else:
+        p = frames.select(*FRAME_KEY, "width", *carried, F.posexplode("pixels").alias("p", "z"))
+        value = [F.col("z").cast("double").alias("z")]
+    return p.select(*FRAME_KEY, F.expr("p div width").cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), *value, *carried)
 
 
 def assemble_frames(pixels: DataFrame, value: str = "z", name: str = "pixels") -> DataFrame:
-    """Pixel form to (stack_id, frame_idx, height, width, pixels)."""
-    cells = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v"))))
-    rows = pixels.groupBy(*FRAME_KEY).agg(cells.alias("c"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    return rows.select(*FRAME_KEY, "height", "width", F.transform("c", lambda c: c["v"]).alias(name))
+    """Pixel form to (stack_id, frame_idx, height, width, pixels), and mask if there is one."""
+    masked, carried = "mask" in pixels.columns, ["left"] if "left" in pixels.columns else []
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v"), *(["mask"] if masked else []))))
+    rows = pixels.groupBy(*FRAME_KEY).agg(cells.alias("c"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), *[F.first(c).alias(c) for c in carried])
+    masks = [F.transform("c", lambda c: c["mask"]).alias("mask")] if masked else []
+    return rows.select(*FRAME_KEY, "height", "width", F.transform("c", lambda c: c["v"]).alias(name), *masks, *carried)
 
 
 def rasterize(rows: DataFrame, stack: Column, frame: Column, y: Column, x: Column, value: Column, height: int, width: int, empty: float = 0.0) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Flattening filters on pixel form: window aggregates over frames or rows, one shuffle in all.
+"""Flattening filters on pixel form.
 
-Each takes the pixels, whether they carry a ``mask`` (true: left out of the fit) and parameters,
-and replaces z.  A frame on which a filter isn't defined keeps its values.
+Medians and means are windows over rows and frames; surfaces are fitted by moments, which are
+aggregated, solved in the plan and joined back; smoothing exchanges borders of tiles.  Each takes
+the pixels, whether they carry a ``mask`` (true: left out of the fit) and parameters, and replaces
+z.  A frame on which a filter isn't defined keeps its values, and has FAILED true if that column is
+there.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from stackloom.model import FRAME_KEY, by_frame, by_row, finite
 
 NAN = float("nan")
+FAILED = "__failed"
 
 
 def _fitted(masked: bool, value: Column) -> Column:
@@ -33,7 +37,9 @@ def row_median(pixels: DataFrame, masked: bool = False) -> DataFrame:
 def centre(pixels: DataFrame, masked: bool = False) -> DataFrame:
     """z minus the frame's mean, or that of its background; without background nothing changes."""
     z = F.col("z")
-    return pixels.withColumn("z", z - F.coalesce(F.avg(_fitted(masked, z)).over(by_frame()), F.lit(0.0)))
+    mean = F.avg(_fitted(masked, z)).over(by_frame())
+    rows = pixels.withColumn(FAILED, mean.isNull()) if masked else pixels
+    return rows.withColumn("z", z - F.coalesce(mean, F.lit(0.0)))
 
 
 def gram(n: int, degree: int) -> list[np.ndarray]:
@@ -54,51 +60,80 @@ def gram(n: int, degree: int) -> list[np.ndarray]:
     return out
 
 
-def _poly(axis: str, n: int, c: np.ndarray) -> Column:
-    t = (F.col(axis) - (n - 1) / 2) / max((n - 1) / 2, 1)
-    out: Column = F.lit(float(c[-1]))
-    for a in c[-2::-1]:
-        out = out * t + F.lit(float(a))
+def _horner(t: Column, coefficients: list[Column]) -> Column:
+    out = coefficients[-1]
+    for c in coefficients[-2::-1]:
+        out = out * t + c
     return out
 
 
-def basis(height: int, width: int, order: int) -> list[Column]:
-    """Orthonormal polynomials of total degree up to `order` over the grid, as expressions in x and y."""
-    px, py = gram(width, order), gram(height, order)
-    return [_poly("x", width, px[i]) * _poly("y", height, py[j]) for d in range(order + 1) for i in range(d, -1, -1) for j in [d - i] if i < len(px) and j < len(py)]
+def _scaled(axis: str, n: int) -> Column:
+    """The coordinate from -1 to 1, as ``gram`` has it."""
+    return (F.col(axis) - (n - 1) / 2) / max((n - 1) / 2, 1)
+
+
+def solved(rows: Column, n: int) -> Column:
+    """Solution of n normal equations, given as rows of n coefficients and a right-hand side.
+
+    Elimination inside the plan.  What is left of a member is measured against 1, its square over
+    the whole grid: a member that the ones before it make up on the background gets 0.
+    """
+
+    def eliminate(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k)
+        p = F.get(pivot, k)
+        cleared = F.transform(m, lambda row, i: F.when(i == k, F.transform(pivot, lambda v: v / p)).otherwise(F.zip_with(row, pivot, lambda a, b: a - F.get(row, k) / p * b)))
+        without = F.transform(m, lambda row, i: F.when(i == k, F.transform(row, lambda v: F.lit(0.0))).otherwise(row))
+        return F.when(p > 1e-12, cleared).otherwise(without)
+
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, eliminate), lambda row: F.get(row, n))
 
 
 def detrend(pixels: DataFrame, height: int, width: int, order: int, masked: bool = False, least: int = 0, spoilt_unchanged: bool = True) -> DataFrame:
-    """z minus its least-squares polynomial of total degree `order`.
+    """z minus its least-squares polynomial of total degree `order`, fitted by moments.
 
-    Unmasked: projections on an orthonormal basis, all in one window level.  Masked: the basis is
-    made orthogonal over the background first (modified Gram-Schmidt, one level for each member),
-    and directions that vanish there are left out.  Frames with fewer than `least` background
-    pixels stay; so do those with a value in the fit that isn't finite, or they become NaN.
+    Sums of products of orthonormal polynomials in x, and of z with them, are aggregated row by row
+    and then frame by frame; the small system of each frame is solved in the plan, and its
+    coefficients are joined back to the pixels, so nothing holds a frame.  Without a mask the system
+    is its own solution.  Frames with fewer than `least` background pixels stay; so do those with a
+    value in the fit that isn't finite, or they become NaN.
     """
-    z = F.col("z")
-    bad = F.max(_fitted(masked, (~finite(z)).cast("int"))).over(by_frame())
-    members = basis(height, width, order)
-    names = [f"__v{k}" for k in range(len(members))]
-    keep = pixels.columns
-    if not masked:
-        rows = pixels.withColumns(dict(zip(names, members)) | {"__bad": bad})
-        rows = rows.withColumns({f"__s{k}": F.sum(z * F.col(v)).over(by_frame()) for k, v in enumerate(names)})
-        fit = sum((F.col(f"__s{k}") * F.col(v) for k, v in enumerate(names)), F.lit(0.0))
-        rest, ok = z - fit, F.lit(True)
+    z, tx, ty = F.col("z"), _scaled("x", width), _scaled("y", height)
+    px, py = gram(width, order), gram(height, order)
+    members = [(i, d - i) for d in range(order + 1) for i in range(d, -1, -1) if i < len(px) and d - i < len(py)]
+    n = len(members)
+    at_x = [_horner(tx, [F.lit(float(v)) for v in c]) for c in px]
+    at_y = [_horner(ty, [F.lit(float(v)) for v in c]) for c in py]
+    sums = {f"z{i}": F.sum(_fitted(masked, z * v)) for i, v in enumerate(at_x)}
+    if masked:
+        sums |= {f"g{i}_{j}": F.sum(_fitted(True, at_x[i] * at_x[j])) for i in range(len(px)) for j in range(i, len(px))}
+    facts = {"n": F.count(_fitted(masked, F.lit(1))), "bad": F.max(_fitted(masked, (~finite(z)).cast("int")))}
+    by_line = pixels.groupBy(*FRAME_KEY, "y").agg(*[c.alias(k) for k, c in (sums | facts).items()])
+    total = {"n": F.sum("n"), "bad": F.coalesce(F.max("bad"), F.lit(0))}
+    total |= {f"r{k}": F.sum(F.col(f"z{i}") * at_y[j]) for k, (i, j) in enumerate(members)}
+    if masked:
+        total |= {f"m{k}_{m}": F.sum(F.col(f"g{min(i, a)}_{max(i, a)}") * at_y[j] * at_y[b]) for k, (i, j) in enumerate(members) for m, (a, b) in enumerate(members) if m >= k}
+    by_frame_ = by_line.groupBy(*FRAME_KEY).agg(*[F.coalesce(c, F.lit(0.0 if k[0] in "rm" else 0)).alias(k) for k, c in total.items()])
+    if masked:
+        system = F.array(*[F.array(*[F.col(f"m{min(k, m)}_{max(k, m)}") for m in range(n)], F.col(f"r{k}")) for k in range(n)])
+        found = by_frame_.withColumn("c", solved(system, n))
+        weight = [F.get("c", k) for k in range(n)]
     else:
-        n = F.count_if(~F.col("mask")).over(by_frame())
-        rows = pixels.withColumns(dict(zip(names, members)) | {"__bad": F.coalesce(bad, F.lit(0)), "__n": n, "__r": z})
-        for k, q in enumerate(names):
-            later = [*names[k + 1 :], "__r"]
-            inner = {f"__d{u}": F.sum(_fitted(True, F.col(u) * F.col(q))).over(by_frame()) for u in later}
-            rows = rows.withColumns(inner | {"__qq": F.sum(_fitted(True, F.col(q) * F.col(q))).over(by_frame())})
-            # members are orthonormal over the grid, so what is left of one is measured against 1
-            scale = lambda u: F.when(F.col("__qq") > 1e-12, F.col(f"__d{u}") / F.col("__qq")).otherwise(0.0)
-            rows = rows.withColumns({u: F.col(u) - scale(u) * F.col(q) for u in later}).drop(q, "__qq", *inner)
-        rest, ok = F.col("__r"), F.col("__n") >= least
-    spoilt = z if spoilt_unchanged else F.lit(NAN)
-    return rows.withColumn("z", F.when(~ok, z).when(F.col("__bad") == 1, spoilt).otherwise(rest)).select(*keep)
+        found, weight = by_frame_, [F.col(f"r{k}") for k in range(n)]
+    # the same surface as powers of the scaled coordinates, so that a pixel needs a multiplication for each
+    power = {}
+    for a in range(len(px[0])):
+        for b in range(len(py[0])):
+            terms = [w * float(px[i][a] * py[j][b]) for w, (i, j) in zip(weight, members, strict=True) if px[i][a] * py[j][b] != 0]
+            if terms:
+                power[a, b] = sum(terms[1:], terms[0]).alias(f"__p{a}_{b}")
+    fits = found.select(*FRAME_KEY, *power.values(), F.col("n").alias("__n"), (F.col("bad") == 1).alias("__bad"))
+    # one row for a frame: its side is hashed, so pixels aren't sorted
+    rows = pixels.join(fits.hint("shuffle_hash"), FRAME_KEY)
+    lines = [_horner(tx, [F.col(f"__p{a}_{b}") if (a, b) in power else F.lit(0.0) for a in range(len(px[0]))]) for b in range(len(py[0]))]
+    few = F.col("__n") < least if masked else F.lit(False)
+    value = F.when(few, z).when(F.col("__bad"), z if spoilt_unchanged else F.lit(NAN)).otherwise(z - _horner(ty, lines))
+    return rows.select(*[value.alias("z") if c == "z" else F.col(c) for c in pixels.columns], (few | F.col("__bad") if spoilt_unchanged else few).alias(FAILED))
 
 
 def plane(pixels: DataFrame, height: int, width: int, masked: bool = False) -> DataFrame:
@@ -107,7 +142,7 @@ def plane(pixels: DataFrame, height: int, width: int, masked: bool = False) -> D
 
 def polynomial(pixels: DataFrame, height: int, width: int, masked: bool = False, order: int = 2) -> DataFrame:
     if not isinstance(order, int) or isinstance(order, bool) or order < 1:
-        return pixels  # not defined: every frame keeps its values
+        return pixels.withColumn(FAILED, F.lit(True))  # not defined: every frame keeps its values
     return detrend(pixels, height, width, order, masked, least=(order + 1) * (order + 2) // 2, spoilt_unchanged=False)
 
 

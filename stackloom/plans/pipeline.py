@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from pathlib import Path
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
 
+from stackloom.plans.forms import PIXEL, Faults, counted, run_steps
 from stackloom.plans.frameplan import run_frames
-from stackloom.plans.pixelplan import PixelState, apply_step
 from stackloom.plans.registry import CLEAR, Step, resolve
 
 if TYPE_CHECKING:
@@ -43,26 +44,32 @@ class Pipeline:
     def run(self) -> DataFrame:
         """The stack's pixels after all steps, starting from its present ones and from no mask.
 
-        The stack keeps `raw` and `step_<k>_<name>` snapshots and the masks, all lazy.
+        Each step runs in the form that makes the chain cheapest; users' steps run on frames.  The
+        stack keeps `raw` and `step_<k>_<name>` snapshots and the masks, all lazy, and `faults`:
+        how many frames each step left as they were.
         """
         stack = self.stack
         stack.keep_raw()
-        state = PixelState(stack.pixels, stack.height, stack.width)
-        last_mask = None
-        for k, s in enumerate(self.steps, 1):
+        names = [f"step_{k}_{s.name}" for k, s in enumerate(self.steps, 1)]
+        start = replace(stack.state, rows=counted(stack.state.rows))
+        states = run_steps(start, self.steps)
+        had_mask, last_mask = False, None
+        for s, name, state in zip(self.steps, names, states, strict=True):
             op = resolve(s.name)
-            before, state = state, apply_step(state, s)
+            rows = lambda *more, state=state: state.to(PIXEL).rows.select(*stack.key, "y", "x", *more)
             if op is None:
                 last_mask = None
             elif op.kind == "mask":
-                name = f"step_{k}_{s.name}"
-                if before.has_mask and last_mask:
-                    name = f"step_{k}_{'_'.join(last_mask.split('_')[2:])}_{s.name}"
+                if had_mask and last_mask:
+                    name = f"{'_'.join(name.split('_')[:2])}_{'_'.join(last_mask.split('_')[2:])}_{s.name}"
                 last_mask = name
-                stack.masks[name] = state.pixels.select(*stack.key, "y", "x", "mask")
+                stack.masks[name] = rows("mask")
             else:
-                stack.snapshots[f"step_{k}_{s.name}"] = state.pixels.drop("mask")
-        stack.pixels = state.pixels.drop("mask")
+                stack.snapshots[name] = rows("z")
+            had_mask = state.has_mask
+        stack.faults = Faults(names)
+        end = states[-1] if states else start
+        stack.state = replace(end, rows=stack.faults.observed(end).drop("mask"), has_mask=False)
         return stack.pixels
 
     def run_frame_form(self) -> DataFrame:
@@ -76,13 +83,14 @@ class Pipeline:
 def apply_steps(stack: FrameStack, names: list[str], **params: Any) -> DataFrame:
     """Steps by name with shared parameters; here a new mask replaces the one before it."""
     stack.keep_raw()
-    state = PixelState(stack.pixels, stack.height, stack.width)
-    for name in names:
-        op = resolve(name)
-        state = apply_step(state, Step(name, dict(params) if op else {}), "replace")
+    steps = [Step(name, dict(params) if resolve(name) else {}) for name in names]
+    states = run_steps(stack.state, steps, "replace")
+    for step, state in zip(steps, states, strict=True):
+        op = resolve(step.name)
         if op is not None and op.kind == "filter":
-            stack.snapshots[name] = state.pixels.drop("mask")
-    stack.pixels = state.pixels.drop("mask")
+            stack.snapshots[step.name] = state.to(PIXEL).rows.drop("mask")
+    if states:
+        stack.state = replace(states[-1], rows=states[-1].rows.drop("mask"), has_mask=False)
     return stack.pixels
 
 

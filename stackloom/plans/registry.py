@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import inspect
 import logging
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from importlib.metadata import entry_points
@@ -39,6 +40,8 @@ class Operator:
     masked: bool = False
     sized: bool = False
     user: bool = False
+    #: Nanoseconds for a pixel in pixel form and in frame form; they only choose between the forms.
+    cost: tuple[float, float] = (math.inf, 200.0)
 
     def usable(self, params: dict[str, Any], with_mask: bool) -> dict[str, Any]:
         """The parameters if the operator takes all of them, else none of them (and a warning).
@@ -63,14 +66,18 @@ class Operator:
         return any(p.default is p.empty and p.name not in params and p.kind in (p.POSITIONAL_OR_KEYWORD, p.KEYWORD_ONLY) for p in known)
 
 
+#: Costs by what a step does in pixel form: only its own pixel, windows over frame or row, sorts along both axes.
+NARROW, WINDOW, SORTS = (20.0, 10.0), (700.0, 30.0), (3000.0, 60.0)
+
+
 def _masks() -> dict[str, Operator]:
-    pairs = {"mask_threshold": "threshold_above", "mask_below_threshold": "threshold_below", "mask_mean_offset": "above_mean", "mask_morphological": "closed_magnitude", "mask_adaptive": "above_tile_mean"}
-    return {name: Operator(name, "mask", getattr(kernels, f), getattr(masks, f)) for name, f in pairs.items()}
+    rows = [("mask_threshold", "threshold_above", NARROW), ("mask_below_threshold", "threshold_below", NARROW), ("mask_mean_offset", "above_mean", WINDOW), ("mask_morphological", "closed_magnitude", SORTS), ("mask_adaptive", "above_tile_mean", WINDOW)]
+    return {name: Operator(name, "mask", getattr(kernels, f), getattr(masks, f), cost=cost) for name, f, cost in rows}
 
 
 def _filters() -> dict[str, Operator]:
-    rows = [("remove_plane", "plane", True, True), ("row_median_align", "row_median", True, False), ("zero_mean", "centre", True, False), ("polynomial_flatten", "polynomial", True, True), ("gaussian_filter", "smooth", False, True)]
-    return {name: Operator(name, "filter", getattr(kernels, f), getattr(filters, f), masked, sized) for name, f, masked, sized in rows}
+    rows = [("remove_plane", "plane", True, True, WINDOW), ("row_median_align", "row_median", True, False, WINDOW), ("zero_mean", "centre", True, False, WINDOW), ("polynomial_flatten", "polynomial", True, True, WINDOW), ("gaussian_filter", "smooth", False, True, SORTS)]
+    return {name: Operator(name, "filter", getattr(kernels, f), getattr(filters, f), masked, sized, cost=cost) for name, f, masked, sized, cost in rows}
 
 
 MASKS: dict[str, Operator] = _masks()

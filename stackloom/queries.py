@@ -18,9 +18,10 @@ from stackloom import model
 from stackloom.functions import display, timestamps, units
 from stackloom.model import FRAME_KEY
 from stackloom.operators import filters
+from stackloom.plans.forms import FRAME, PIXEL, Faults, State, counted, run_steps
 from stackloom.plans.frameplan import run_frames
 from stackloom.plans.pixelplan import PixelState, apply_step, run_pixels, spread
-from stackloom.plans.registry import Step, register_filter
+from stackloom.plans.registry import Step, register_filter, register_mask
 from stackloom.plans.steps import DEFAULT_STEPS, parse_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,10 +168,55 @@ def scale_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.with_scale_bar(rows, EV_H, 20.0, 2.5).select(*FRAME_KEY, "y", "x", "rgb.r", "rgb.g", "rgb.b")
 
 
+def _chosen(spark: SparkSession, sf_dir: str, steps: list[Step], rows: DataFrame | None = None, combine: str = "or") -> State:
+    """Steps over the embeddings stack, each in the form that the chain's costs choose."""
+    start = State(emb_frames(spark, sf_dir) if rows is None else rows, FRAME, H, W)
+    return run_steps(start, steps, combine)[-1].to(PIXEL)
+
+
 def pipeline_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default preset; its costs choose the frame form."""
+    state = _chosen(spark, sf_dir, DEFAULT_STEPS)
+    return _out(PixelState(state.rows, H, W, state.has_mask), 5)
+
+
+def pipeline_default_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in pixel form, as frames that don't fit into a row need it."""
     return _out(run_pixels(emb(spark, sf_dir), H, W, DEFAULT_STEPS), 5)
 
 
+def _own_steps() -> list[Step]:
+    """A chain of built-in steps and users' steps, one of which fails on some frames."""
+
+    def flipped(a: np.ndarray) -> np.ndarray:
+        if a[0, 0] > 0:
+            raise ValueError("positive corner")
+        return -a
+
+    def left_half(a: np.ndarray) -> np.ndarray:
+        return np.arange(a.shape[1])[None, :] * 2 < a.shape[1] * np.ones((len(a), 1))
+
+    register_filter("flipped", flipped)
+    register_mask("left_half", left_half)
+    return [Step("remove_plane"), Step("left_half"), Step("row_median_align"), Step("flipped"), Step("polynomial_flatten", {"order": 2.0}), Step("mask_threshold", {"threshold": 0.05}), Step("zero_mean")]
+
+
+def pipeline_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in steps and users' steps in one chain of pixels, frames and pixels."""
+    start = State(emb(spark, sf_dir), PIXEL, H, W)
+    state = run_steps(start, _own_steps())[-1].to(PIXEL)
+    return _out(PixelState(state.rows, H, W, state.has_mask), 5)
+
+
+def step_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that each step of that chain left as they were, as observed while the chain ran."""
+    steps = _own_steps()
+    end = run_steps(State(counted(emb_frames(spark, sf_dir)), FRAME, H, W), steps)[-1]
+    faults = Faults([f"step_{k}_{s.name}" for k, s in enumerate(steps, 1)])
+    faults.observed(end).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(sorted(faults.get().items()), "step string, frames bigint")
+
+
 def pipeline_default_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same in frame form: one narrow pass, no shuffle."""
     rows = run_frames(emb_frames(spark, sf_dir), DEFAULT_STEPS, with_mask=True)
@@ -228,7 +274,7 @@ _NAMED: dict[str, Query] = {
     "pipeline_quickstart": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 5),
     "pipeline_events": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 6, events_raster, (EV_H, EV_W)),
 }
-_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_frames, pipeline_lineitem, user_filter, wrong_parameters]
+_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_pixels, pipeline_default_frames, pipeline_mixed, step_faults, pipeline_lineitem, user_filter, wrong_parameters]
 
 
 def queries() -> dict[str, Query]:
@@ -347,6 +393,10 @@ def oracle_sql() -> dict[str, str]:
     c = lambda base=_EMB, h=H, w=W: Chain(base, h, w)
     above = lambda t: f"z > {t}"
     quick = lambda ch: ch.fit(1).high(1).medians()
+    # the user's filter sees frames whose first pixel isn't above 0
+    corner = c().fit(1).m("x < 4").medians()
+    first = f"max(CASE WHEN y = 0 AND x = 0 THEN z END) OVER ({_F})"
+    own = c().fit(1).m("x < 4").medians().z(f"CASE WHEN {first} > 0 THEN z ELSE -z END").m("m OR z > 0.05")
     default = c().fit(1).fit(2).high(0.5).medians().fit(2).centred().sql(5)
     return {
         "explode_frames": c().sql(),
@@ -369,7 +419,10 @@ def oracle_sql() -> dict[str, str]:
         "colormap": f"WITH {_EMB} SELECT {_PX}, {_HEAT} FROM (SELECT *, {_GREY} AS g FROM px)",
         "scale_bar": f"WITH {_EV}, {_SQUARE.format(border='0.0')}, k AS (SELECT *, {_GREY} AS g FROM sq), h AS (SELECT {_PX}, {_HEAT} FROM k) SELECT {_PX}, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE r END AS INTEGER) AS r, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE g END AS INTEGER) AS g, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE b END AS INTEGER) AS b FROM h",
         "pipeline_default": default,
+        "pipeline_default_pixels": default,
         "pipeline_default_frames": default,
+        "pipeline_mixed": own.centred().sql(5),
+        "step_faults": f"WITH {', '.join(corner.ctes)} SELECT k AS step, CASE k WHEN 'step_5_polynomial_flatten' THEN frames WHEN 'step_4_flipped' THEN failed ELSE 0 END AS frames FROM (SELECT count(*) AS frames, count(*) FILTER (z > 0) AS failed FROM {corner.last} WHERE y = 0 AND x = 0), (VALUES ('step_1_remove_plane'), ('step_2_left_half'), ('step_3_row_median_align'), ('step_4_flipped'), ('step_5_polynomial_flatten'), ('step_6_mask_threshold'), ('step_7_zero_mean')) t(k)",
         "pipeline_lineitem": c(_LI, LI_H, LI_W).fit(1).medians().sql(2),
         "user_filter": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CAST(embedding[1] < 0 AS INTEGER) AS errors, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN embedding[1] < 0 THEN 1 ELSE 3 END, 6) AS p0 FROM embeddings",
         "wrong_parameters": c().m(above(0)).sql(),

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.functions import timestamps
-from stackloom.model import FRAME_KEY, assemble_frames, explode_frames
+from stackloom.model import FRAME_KEY, assemble_frames
+from stackloom.plans.forms import FRAME, PIXEL, Faults, State
 
 
 class FrameStack:
-    """Pixels of complete frames numbered from 0, with metadata on the driver (one dict for each frame)."""
+    """Complete frames numbered from 0, in pixel or frame form, with metadata on the driver (one dict for each frame)."""
 
     key = FRAME_KEY
 
@@ -25,11 +26,14 @@ class FrameStack:
         given = list(frame_metadata or [])
         if len(given) > n_frames:
             raise ValueError(f"metadata of {len(given)} frames for {n_frames}")
-        self.pixels, self.n_frames, self.height, self.width = pixels, n_frames, height, width
+        self.n_frames, self.height, self.width = n_frames, height, width
+        self.state = State(pixels, FRAME if "pixels" in pixels.columns else PIXEL, height, width)
         self.pixel_size_nm, self.channel, self.file_path = pixel_size_nm, channel, str(file_path)
         self.frame_metadata = given + [{} for _ in range(n_frames - len(given))]
         self.snapshots: dict[str, DataFrame] = {}
         self.masks: dict[str, DataFrame] = {}
+        self.faults: Faults | None = None
+        self._raw: State | None = None
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, data: np.ndarray, pixel_size_nm: float, channel: str, file_path: str = "", frame_metadata: list[dict[str, Any]] | None = None) -> FrameStack:
@@ -41,8 +45,8 @@ class FrameStack:
         import pyarrow as pa
 
         flat = pa.array(data.astype(float).ravel())
-        table = pa.table({"stack_id": pa.array(["0"] * n), "frame_idx": pa.array(range(n), pa.int32()), "width": pa.array([w] * n, pa.int32()), "pixels": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * h * w, pa.int32()), flat)})
-        return cls(explode_frames(spark.createDataFrame(table)), n, h, w, pixel_size_nm, channel, file_path, frame_metadata)
+        table = pa.table({"stack_id": pa.array(["0"] * n), "frame_idx": pa.array(range(n), pa.int32()), "height": pa.array([h] * n, pa.int32()), "width": pa.array([w] * n, pa.int32()), "pixels": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * h * w, pa.int32()), flat)})
+        return cls(spark.createDataFrame(table), n, h, w, pixel_size_nm, channel, file_path, frame_metadata)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str | Path, channel: str = "height_trace") -> FrameStack:
@@ -56,19 +60,30 @@ class FrameStack:
     def image_shape(self) -> tuple[int, int]:
         return self.height, self.width
 
+    @property
+    def pixels(self) -> DataFrame:
+        return self.state.to(PIXEL).rows
+
+    @pixels.setter
+    def pixels(self, rows: DataFrame) -> None:
+        self.state = State(rows, PIXEL, self.height, self.width)
+
     def frames(self) -> DataFrame:
-        return assemble_frames(self.pixels)
+        """Frame form; as it is where no step asked for pixels."""
+        return self.state.to(FRAME).rows
 
     def set_frames(self, frames: DataFrame) -> None:
-        self.pixels = explode_frames(frames)
+        self.state = State(frames.select(*FRAME_KEY, "height", "width", "pixels"), FRAME, self.height, self.width)
 
     def keep_raw(self) -> None:
-        self.snapshots.setdefault("raw", self.pixels)
+        if self._raw is None:
+            self._raw = self.state
+            self.snapshots["raw"] = self.pixels
 
     def restore_raw(self) -> DataFrame:
-        if "raw" not in self.snapshots:
+        if self._raw is None:
             raise KeyError("there is no raw snapshot")
-        self.pixels = self.snapshots["raw"]
+        self.state = self._raw
         return self.pixels
 
     def _index(self, i: int) -> int:

@@ -90,10 +90,12 @@ def test_unknown_step_raises(stack):
 def test_user_filters(stack):
     registry.register_filter("halve", lambda a: a / 2)
     try:
-        with pytest.raises(ValueError, match="frame form"):
-            Pipeline(stack).add_filter("halve").run()
         Pipeline(stack).add_filter("halve").run_frame_form()
         assert stack.numpy().max() == 23.5
+        Pipeline(stack).add_filter("halve").run()
+        assert stack.numpy().max() == 11.75
+        stack.apply(["halve"])
+        assert stack.numpy().max() == 5.875 and stack.snapshots["halve"].agg(F.max("z")).first()[0] == 5.875
         registry.register_filter("gaussian_filter", lambda a: a * 0)
         assert registry.resolve("gaussian_filter").user
     finally:
