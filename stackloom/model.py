@@ -70,9 +70,14 @@ def rasterize(rows: DataFrame, stack: Column, frame: Column, y: Column, x: Colum
     cells = rows.select(stack.cast("string").alias("stack_id"), frame.cast("int").alias("frame_idx"), y.cast("int").alias("y"), x.cast("int").alias("x"), value.cast("double").alias("z"))
     cells = cells.where(F.col("stack_id").isNotNull() & F.col("frame_idx").isNotNull() & F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     sums = cells.groupBy(*FRAME_KEY, "y", "x").agg(F.sum("z").alias("z"))
-    known = sums.groupBy(*FRAME_KEY).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("p"), "z"))).alias("m"))
-    dense = known.select(*FRAME_KEY, "m", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("p"))
-    return dense.select(*FRAME_KEY, F.expr(f"p div {width}").cast("int").alias("y"), (F.col("p") % width).cast("int").alias("x"), F.coalesce(F.element_at("m", F.col("p")), F.lit(float(empty))).alias("z"))
+    at = (F.col("y") * width + F.col("x")).alias("p")
+    known = sums.groupBy(*FRAME_KEY).agg(F.array_sort(F.collect_list(F.struct(at, "z"))).alias("c"))
+    # gaps before each known cell and after the last one, filled by runs: no cell is looked up
+    last = height * width
+    gap = lambda n: F.array_repeat(F.lit(float(empty)), n.cast("int"))
+    runs = F.transform("c", lambda c, i: F.concat(gap(c["p"] - F.when(i > 0, F.get("c", i - 1)["p"] + 1).otherwise(0)), F.array(c["z"])))
+    dense = known.select(*FRAME_KEY, F.posexplode(F.concat(F.flatten(runs), gap(last - 1 - F.element_at("c", -1)["p"]))).alias("p", "z"))
+    return dense.select(*FRAME_KEY, F.expr(f"p div {width}").cast("int").alias("y"), (F.col("p") % width).cast("int").alias("x"), "z")
 
 
 def finite(c: Column) -> Column:
@@ -88,22 +93,47 @@ def generate_timestamps(frames: DataFrame) -> DataFrame:
     return frames.withColumn("timestamp_s", F.col("frame_idx") * F.try_divide(F.col("height").cast("double"), F.col("line_rate")))
 
 
+#: Frames whose numbers fall into one range are placed together.
+RANGE = 4096
+
+
+def frame_places(frames: DataFrame) -> DataFrame:
+    """For each stack and range of frame numbers: `present` (its frames in order), `first` (frames before them) and `total`.
+
+    Distributed numbering in two phases: counts by range, summed up along a stack's ranges, and
+    places inside a range.  Only keys are read; a window sees one row for each RANGE numbers.
+    """
+    ranges = frames.select("stack_id", "frame_idx", _range().alias("__range")).groupBy("stack_id", "__range").agg(F.array_sort(F.collect_list("frame_idx")).alias("present"))
+    by = Window.partitionBy("stack_id")
+    size = F.size("present").cast("bigint")
+    return ranges.withColumns({"first": F.sum(size).over(by.orderBy("__range")) - size, "total": F.sum(size).over(by)})
+
+
+def _range() -> Column:
+    return F.floor(F.col("frame_idx") / RANGE)
+
+
 def slice_frames(frames: DataFrame, start: int | None, stop: int | None, step: int | None = 1) -> DataFrame:
     """Frames start:stop:step of every stack by frame order, renumbered from 0.
 
-    Negative bounds count from the stack's end; a step below 1 isn't allowed.  The numbering
-    needs one window over a stack's frame keys.
+    Negative bounds count from the stack's end; a step below 1 isn't allowed.  Frames meet a row
+    for their range of numbers, so their pixels are never sorted, and ranges outside of the slice
+    are left out before.
     """
     step = 1 if step is None else step
     if step < 1:
         raise ValueError("a slice of frames needs a step of 1 or more")
-    by = Window.partitionBy("stack_id")
-    n = F.count("*").over(by)
-    at = F.row_number().over(by.orderBy("frame_idx")) - 1
+    n = F.col("total")
     clip = lambda v, none: none if v is None else (F.least(F.lit(v), n) if v >= 0 else F.greatest(F.lit(0), n + v))
-    rows = frames.withColumns({"__at": at, "__a": clip(start, F.lit(0)), "__z": clip(stop, n)})
-    rows = rows.where((F.col("__at") >= F.col("__a")) & (F.col("__at") < F.col("__z")) & ((F.col("__at") - F.col("__a")) % step == 0))
-    return rows.withColumn("frame_idx", F.expr(f"(__at - __a) div {step}").cast("int")).drop("__at", "__a", "__z")
+    places = frame_places(frames).withColumns({"__a": clip(start, F.lit(0)), "__z": clip(stop, n)})
+    places = places.where((F.col("first") < F.col("__z")) & (F.col("first") + F.size("present") > F.col("__a")))
+    places = places.select("stack_id", "__range", F.col("present").alias("__present"), F.col("first").alias("__first"), "__a", "__z")
+    rows = frames.withColumn("__range", _range()).join(places.hint("shuffle_hash"), ["stack_id", "__range"])
+    # every number below ours in the range stands before us
+    rows = rows.withColumn("__at", F.col("__first") + F.array_position("__present", F.col("frame_idx")) - 1 - F.col("__a"))
+    rows = rows.where((F.col("__at") >= 0) & (F.col("__at") < F.col("__z") - F.col("__a")) & (F.col("__at") % step == 0))
+    number = F.expr(f"__at div {step}").cast("int")
+    return rows.select(*[number.alias(c) if c == "frame_idx" else F.col(f"`{c}`") for c in frames.columns])
 
 
 def attach_metadata(frames: DataFrame, metadata: DataFrame) -> DataFrame:

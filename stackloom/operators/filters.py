@@ -153,32 +153,63 @@ def gaussian_weights(sigma: float) -> np.ndarray:
     return w / w.sum()
 
 
-def reflected(n: int, weights: np.ndarray) -> list[list[tuple[int, float]]]:
-    """For each source place the (target, weight) it adds to; beyond an end the axis is mirrored, ends repeated."""
-    r = len(weights) // 2
-    out: dict[tuple[int, int], float] = {}
-    for to in range(n):
-        for k, w in enumerate(weights):
-            m = (to + k - r) % (2 * n)
-            src = m if m < n else 2 * n - 1 - m
-            out[src, to] = out.get((src, to), 0.0) + float(w)
-    return [[(t, out[s, t]) for t in range(n) if out.get((s, t), 0.0) != 0.0] for s in range(n)]
+def mirrored(i: Column, n: int) -> Column:
+    """The place on an axis of n that i stands for; beyond an end the axis is mirrored, ends repeated."""
+    m = F.pmod(i, F.lit(2 * n))
+    return F.least(m, F.lit(2 * n - 1) - m)
+
+
+def _weighted(values: list[Column]) -> Column:
+    """Their sum as a balanced tree, which stays shallow for wide kernels."""
+    while len(values) > 1:
+        values = [values[k] + values[k + 1] if k + 1 < len(values) else values[k] for k in range(0, len(values), 2)]
+    return values[0]
+
+
+def tiles(pixels: DataFrame, height: int, width: int, tile: int, halo: int) -> DataFrame:
+    """FRAME_KEY, tile, from (its first line), lines (arrays of cells): lines of a tile and of `halo` lines to either side.
+
+    Only lines near a border go to two tiles (or more, if the halo is wider than a tile), so the
+    one shuffle carries each pixel 1 + 2 * halo / tile times.  Cells are structs of x and the other
+    columns.
+    """
+    many = -(-height // tile)
+    own = [c for c in pixels.columns if c not in (*FRAME_KEY, "y")]
+    low, high = F.greatest(F.lit(0), F.expr(f"(y - {halo}) div {tile}").cast("int")), F.least(F.lit(many - 1), F.expr(f"(y + {halo}) div {tile}").cast("int"))
+    where = F.explode(F.sequence(low, high)) if many > 1 else F.lit(0)
+    dealt = pixels.select("*", where.alias("__tile"))
+    rows = dealt.groupBy(*FRAME_KEY, "__tile").agg(F.array_sort(F.collect_list(F.struct("y", "x", *[c for c in own if c != "x"]))).alias("__c"))
+    line = F.sequence(F.lit(0), F.expr(f"int(size(__c) div {width}) - 1"))
+    return rows.select(*FRAME_KEY, F.col("__tile").alias("tile"), F.get("__c", F.lit(0))["y"].alias("from"), F.transform(line, lambda k: F.slice("__c", k * width + 1, F.lit(width))).alias("lines"))
 
 
 def smooth(pixels: DataFrame, height: int, width: int, sigma: float = 1.0) -> DataFrame:
-    """Gaussian smoothing: every pixel scatters its value along x, then along y; a mask is carried, not used.
+    """Gaussian smoothing by halo exchange: tiles of lines with the borders of their neighbours, one shuffle.
 
-    The table of weights is a literal of one axis, so there is no join; sums are pre-aggregated
-    before the shuffle.
+    Lines are arrays, convolved along x and then across lines by array functions; a mask is
+    carried, not used.  Frames are complete grids.
     """
     if sigma <= 0:
         return pixels
     w = gaussian_weights(sigma)
-    extra = [c for c in pixels.columns if c not in (*FRAME_KEY, "y", "x", "z")]
-    for axis, n in (("x", width), ("y", height)):
-        other = "y" if axis == "x" else "x"
-        table = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("w")) for t, v in row]) for row in reflected(n, w)])
-        each = pixels.select(*FRAME_KEY, other, F.col(axis).alias("__s"), "z", *extra, F.explode(F.get(table, F.col(axis))).alias("e"))
-        kept = [F.max(F.when(F.col("__s") == F.col("e.t"), F.col(c))).alias(c) for c in extra]
-        pixels = each.groupBy(*FRAME_KEY, other, F.col("e.t").alias(axis)).agg(F.sum(F.col("z") * F.col("e.w")).alias("z"), *kept)
-    return pixels.select(*FRAME_KEY, "y", "x", "z", *extra)
+    r = len(w) // 2
+    tile = max(64, 4 * r)
+    t = tiles(pixels, height, width, tile, min(r, height))
+    along = lambda line: F.transform(F.sequence(F.lit(-r), F.lit(width + r - 1)), lambda i: F.get(line, mirrored(i, width))["z"])
+
+    def convolved(line: Column) -> Column:
+        wide = along(line)
+        return F.transform(line, lambda _, x: _weighted([F.get(wide, x + k) * float(v) for k, v in enumerate(w)]))
+
+    t = t.withColumn("across", F.transform("lines", convolved))
+    low = F.col("tile") * tile
+    mine = F.sequence(low, F.least(low + tile, F.lit(height)) - 1)
+
+    def cells(y: Column) -> Column:
+        near = F.transform(F.sequence(y - r, y + r), lambda i: F.get("across", mirrored(i, height) - F.col("from")))
+        old = F.get("lines", y - F.col("from"))
+        return F.transform(old, lambda c, x: F.struct(c.alias("c"), _weighted([F.get(F.get(near, F.lit(k)), x) * float(v) for k, v in enumerate(w)]).alias("z")))
+
+    out = t.select(*FRAME_KEY, F.explode(F.flatten(F.transform(mine, cells))).alias("p"))
+    new = {"z": F.col("p.z").alias("z")} | {k: F.col(k) for k in FRAME_KEY}
+    return out.select(*[new.get(c, F.col(f"p.c.{c}")) for c in pixels.columns])

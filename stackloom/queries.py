@@ -255,6 +255,8 @@ _NAMED: dict[str, Query] = {
     "mask_adaptive": _steps("mask_adaptive:block_size=3,offset=0.01"),
     "mask_morphological": _steps("mask_morphological:threshold=0.1,structure_size=3"),
     "mask_morphological_even": _steps("mask_morphological:threshold=0.1,structure_size=2"),
+    "mask_morphological_s7": _steps("mask_morphological:threshold=0.1,structure_size=7"),
+    "mask_morphological_lineitem": _steps("mask_morphological:threshold=150000.0,structure_size=8", 2, lineitem_raster, (LI_H, LI_W)),
     "mask_combine_or": _steps("mask_threshold:threshold=0.1;mask_below_threshold:threshold=-0.1"),
     "mask_replace": _steps("mask_threshold:threshold=0.1;mask_below_threshold:threshold=-0.1", combine="replace"),
     "mask_clear": _steps("mask_threshold:threshold=0.1;clear;zero_mean"),
@@ -367,11 +369,11 @@ c AS (SELECT stack_id, frame_idx, y, x, o, w, {fold(H).replace('i', f'(y + o + {
 SELECT c.stack_id, c.frame_idx, c.y, c.x, {_r('sum(c.w * b.z)')} AS z FROM c JOIN b ON b.stack_id = c.stack_id AND b.frame_idx = c.frame_idx AND b.x = c.x AND b.y = c.s GROUP BY ALL"""
 
 
-def _closing_sql(t: float, s: int) -> str:
+def _closing_sql(t: float, s: int, base: str = _EMB, digits: int = 6) -> str:
     back, ahead = s // 2, (s - 1) // 2
     cover = lambda a, b, lo, hi: f"{b}.stack_id = {a}.stack_id AND {b}.frame_idx = {a}.frame_idx AND {b}.y BETWEEN {a}.y - {lo} AND {a}.y + {hi} AND {b}.x BETWEEN {a}.x - {lo} AND {a}.x + {hi}"
-    return f"""WITH {_EMB}, d AS (SELECT a.stack_id, a.frame_idx, a.y, a.x, a.z, bool_or(abs(b.z) > {t}) AS m FROM px a JOIN px b ON {cover('a', 'b', ahead, back)} GROUP BY ALL)
-SELECT a.stack_id, a.frame_idx, a.y, a.x, {_r('a.z')} AS z, bool_and(b.m) AND count(*) = {s * s} AS mask FROM d a JOIN d b ON {cover('a', 'b', back, ahead)} GROUP BY ALL"""
+    return f"""WITH {base}, d AS (SELECT a.stack_id, a.frame_idx, a.y, a.x, a.z, bool_or(abs(b.z) > {t}) AS m FROM px a JOIN px b ON {cover('a', 'b', ahead, back)} GROUP BY ALL)
+SELECT a.stack_id, a.frame_idx, a.y, a.x, {_r('a.z', digits)} AS z, bool_and(b.m) AND count(*) = {s * s} AS mask FROM d a JOIN d b ON {cover('a', 'b', back, ahead)} GROUP BY ALL"""
 
 
 def _simple(select: str, base: str = _EMB) -> str:
@@ -432,6 +434,8 @@ def oracle_sql() -> dict[str, str]:
         "mask_adaptive": c().m("z > avg(z) OVER (PARTITION BY stack_id, frame_idx, y // 3, x // 3) + 0.01").sql(),
         "mask_morphological": _closing_sql(0.1, 3),
         "mask_morphological_even": _closing_sql(0.1, 2),
+        "mask_morphological_s7": _closing_sql(0.1, 7),
+        "mask_morphological_lineitem": _closing_sql(150000.0, 8, _LI, 2),
         "mask_combine_or": c().m("z > 0.1 OR z < -0.1").sql(),
         "mask_replace": c().m("z < -0.1").sql(),
         "mask_clear": c().centred().sql(),
