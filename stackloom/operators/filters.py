@@ -10,6 +10,7 @@ there.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -159,6 +160,11 @@ def mirrored(i: Column, n: int) -> Column:
     return F.least(m, F.lit(2 * n - 1) - m)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value made once: inside of lambdas an expression would be made anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _weighted(values: list[Column]) -> Column:
     """Their sum as a balanced tree, which stays shallow for wide kernels."""
     while len(values) > 1:
@@ -195,21 +201,20 @@ def smooth(pixels: DataFrame, height: int, width: int, sigma: float = 1.0) -> Da
     r = len(w) // 2
     tile = max(64, 4 * r)
     t = tiles(pixels, height, width, tile, min(r, height))
-    along = lambda line: F.transform(F.sequence(F.lit(-r), F.lit(width + r - 1)), lambda i: F.get(line, mirrored(i, width))["z"])
-
-    def convolved(line: Column) -> Column:
-        wide = along(line)
-        return F.transform(line, lambda _, x: _weighted([F.get(wide, x + k) * float(v) for k, v in enumerate(w)]))
-
-    t = t.withColumn("across", F.transform("lines", convolved))
     low = F.col("tile") * tile
     mine = F.sequence(low, F.least(low + tile, F.lit(height)) - 1)
+    wide = lambda line: F.transform(F.sequence(F.lit(-r), F.lit(width + r - 1)), lambda i: F.get(line, mirrored(i, width))["z"])
+    along = lambda line: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: _weighted([F.get(line, x + k) * float(v) for k, v in enumerate(w)]))
+
+    def cells(lines: Column, across: Column, y: Column) -> Column:
+        near = F.transform(F.sequence(y - r, y + r), lambda i: F.get(across, mirrored(i, height) - F.col("from")))
+        value = lambda near, x: _weighted([F.get(F.get(near, F.lit(k)), x) * float(v) for k, v in enumerate(w)])
+        return bound(near, lambda near: F.transform(F.get(lines, y - F.col("from")), lambda c, x: F.struct(c.alias("c"), value(near, x).alias("z"))))
 
-    def cells(y: Column) -> Column:
-        near = F.transform(F.sequence(y - r, y + r), lambda i: F.get("across", mirrored(i, height) - F.col("from")))
-        old = F.get("lines", y - F.col("from"))
-        return F.transform(old, lambda c, x: F.struct(c.alias("c"), _weighted([F.get(F.get(near, F.lit(k)), x) * float(v) for k, v in enumerate(w)]).alias("z")))
+    def tile_of(lines: Column) -> Column:
+        across = F.transform(lines, lambda line: bound(wide(line), along))
+        return bound(across, lambda across: F.flatten(F.transform(mine, lambda y: cells(lines, across, y))))
 
-    out = t.select(*FRAME_KEY, F.explode(F.flatten(F.transform(mine, cells))).alias("p"))
+    out = t.select(*FRAME_KEY, F.explode(bound(F.col("lines"), tile_of)).alias("p"))
     new = {"z": F.col("p.z").alias("z")} | {k: F.col(k) for k in FRAME_KEY}
     return out.select(*[new.get(c, F.col(f"p.c.{c}")) for c in pixels.columns])

@@ -23,6 +23,7 @@ from stackloom.plans.frameplan import run_frames
 from stackloom.plans.pixelplan import PixelState, apply_step, run_pixels, spread
 from stackloom.plans.registry import Step, register_filter, register_mask
 from stackloom.plans.steps import DEFAULT_STEPS, parse_steps
+from stackloom.sources.datasource import FORMAT, local_scratch, register
 
 Query = Callable[[SparkSession, str], DataFrame]
 H = W = 8
@@ -99,6 +100,17 @@ def frame_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(emb(spark, sf_dir).where(F.col("frame_idx") == 7))
 
 
+def reread_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings stack written as instrument files, a stack a folder, and some frames of it read again by the data source."""
+    register(spark)
+    folder = local_scratch(spark)
+    frames = emb_frames(spark, sf_dir)
+    frames.write.format(FORMAT).mode("append").option("channel", "height_trace").option("pixelSizeNm", 2.0).option("lineRate", 4.0).save(folder)
+    back = spark.read.format(FORMAT).option("framesPerTask", 256).option("channel", "height_trace").option("frames", "7:").load(folder)
+    p = model.explode_frames(back.select(*FRAME_KEY, "width", "pixels")).join(back.select("frame_idx", "line_rate"), "frame_idx")
+    return p.select("frame_idx", "y", "x", (F.round("z", 6) + 0.0).alias("z"), "line_rate")
+
+
 def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = emb_frames(spark, sf_dir).select(*FRAME_KEY)
     meta = frames.where(F.col("frame_idx") % 3 == 0).select(*FRAME_KEY, (F.col("frame_idx") * 0.5).alias("timestamp_s"), F.concat(F.lit("ch"), F.col("frame_idx") % 2).alias("own"))
@@ -276,7 +288,7 @@ _NAMED: dict[str, Query] = {
     "pipeline_quickstart": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 5),
     "pipeline_events": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 6, events_raster, (EV_H, EV_W)),
 }
-_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_pixels, pipeline_default_frames, pipeline_mixed, step_faults, pipeline_lineitem, user_filter, wrong_parameters]
+_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, reread_stack, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_pixels, pipeline_default_frames, pipeline_mixed, step_faults, pipeline_lineitem, user_filter, wrong_parameters]
 
 
 def queries() -> dict[str, Query]:
@@ -408,6 +420,7 @@ def oracle_sql() -> dict[str, str]:
         "flip_vertical": _simple(f"stack_id, frame_idx, CAST(7 - y AS INTEGER) AS y, x, {_r('z')} AS z"),
         "slice_frames": "SELECT stack_id, CAST((k - 3) // 4 AS INTEGER) AS frame_idx, pixels FROM (SELECT CAST(label AS VARCHAR) AS stack_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') AS pixels, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE k >= 3 AND k < n - 2 AND (k - 3) % 4 = 0",
         "frame_at": c().sql() + " WHERE frame_idx = 7",
+        "reread_stack": f"WITH {_EMB}, f AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY frame_idx) - 1 AS k FROM px) SELECT CAST(k AS INTEGER) AS frame_idx, y, x, {_r('z')} AS z, 4.0::DOUBLE AS line_rate FROM f WHERE k >= 7",
         "frame_meta": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CASE WHEN vec_id % 3 = 0 THEN vec_id * 0.5::DOUBLE END AS timestamp_s, CASE WHEN vec_id % 3 = 0 THEN 'ch' || (vec_id % 2) ELSE 'height_trace' END AS channel, CASE WHEN vec_id % 3 = 0 THEN '{\"timestamp_s\":' || (vec_id * 0.5::DOUBLE) || ',\"own\":\"ch' || (vec_id % 2) || '\"}' ELSE '{}' END AS json FROM embeddings",
         "generate_timestamps": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CASE WHEN vec_id % 4 > 0 THEN vec_id * (8.0::DOUBLE / (vec_id % 4)) END AS timestamp_s, CASE WHEN vec_id % 4 > 0 THEN (vec_id % 4) / 8.0::DOUBLE ELSE 1.0 END AS fps FROM embeddings",
         "normalize_timestamps": "SELECT o_orderkey, epoch_us(o_orderdate) / 1e6::DOUBLE AS of_time, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(epoch_us(date_trunc('second', o_orderdate)) / 1e6 AS DOUBLE) END AS of_text, o_totalprice AS of_number FROM orders",

@@ -5,17 +5,17 @@ All functions on groups need only mappings with ``attrs``, as h5py gives them.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Mapping
 from pathlib import Path
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from stackloom.functions import units
 from stackloom.model import explode_frames
+from stackloom.sources import files
 from stackloom.stack import FrameStack
 
 #: Attribute names of the format: fixed values.
@@ -23,7 +23,6 @@ NAME, RETRACE = "channel.name", "retrace"
 MULTIPLIER, OFFSET, UNIT = "net-encoder.scaling.multiplier", "net-encoder.scaling.offset", "net-encoder.scaling.unit.unit"
 ILENGTH, JLENGTH, ULENGTH = "position-pattern.grid.ilength", "position-pattern.grid.jlength", "position-pattern.grid.ulength"
 RATE = "timing-settings.scanRate"
-FRAMES_A_TASK = 64
 
 
 def text(value: Any) -> str:
@@ -79,31 +78,50 @@ def line_rate(measurement: Any) -> float:
     return float(measurement.attrs[RATE])
 
 
-def load(spark: SparkSession, path: str | Path, channel: str = "height_trace", flip: bool = True) -> FrameStack:
-    """Facts are read on the driver, pixels on the executors, some frames (dataset columns) a task."""
+@contextlib.contextmanager
+def opened(url: str | Path) -> Iterator[Any]:
+    """The file at any URL, opened where it is read."""
     try:
         import h5py
     except ImportError as e:
         raise ImportError("reading .h5-jpk files needs the package h5py") from e
-    with h5py.File(path, "r") as f:
+    where, path = files.at(url)
+    with where.open_input_file(path) as raw, h5py.File(raw, "r") as f:
+        yield f
+
+
+def frame_count(file: Mapping) -> int:
+    """Frames of the file: columns of the dataset of any channel."""
+    return max((int(file[m][c][name.split("_")[0].capitalize()].shape[1]) for name, (m, c) in channels(file).items()), default=0)
+
+
+def facts(file: Mapping, channel: str) -> tuple[tuple[int, int], float, float, float]:
+    """(height, width), nm per pixel, line rate, and what turns the declared unit into nm."""
+    m, c, _ = find(file, channel)
+    return shape(file[m]), pixel_size(file[m]), line_rate(file[m]), units.TO_NM.get(unit_of(file[m][c]), 1.0)
+
+
+def images(file: Mapping, channel: str, low: int, high: int, flip: bool = True) -> np.ndarray:
+    """Frames low to high, scaled as the channel says."""
+    m, c, name = find(file, channel)
+    (a, b), (h, w) = scaling(file[m][c]), shape(file[m])
+    z = np.asarray(file[m][c][name][:, low:high], float).T.reshape(-1, h, w) * a + b
+    return z[:, ::-1] if flip else z
+
+
+def load(spark: SparkSession, path: str | Path, channel: str = "height_trace", flip: bool = True) -> FrameStack:
+    """Facts are read on the driver, pixels by the data source, ranges of frames (dataset columns) a task."""
+    from stackloom.sources.datasource import FORMAT, register
+
+    with opened(path) as f:
         m, c, name = find(f, channel)
-        (a, b), unit = scaling(f[m][c]), unit_of(f[m][c])
-        (h, w), size, rate, n = shape(f[m]), pixel_size(f[m]), line_rate(f[m]), int(f[m][c][name].shape[1])
-    where = str(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import h5py as h5
-
-        for batch in batches:
-            for lo in batch.column(0).to_pylist():
-                hi = min(n, lo + FRAMES_A_TASK)
-                with h5.File(where, "r") as f:
-                    z = np.asarray(f[m][c][name][:, lo:hi], float).T.reshape(hi - lo, h, w) * a + b
-                z = z[:, ::-1] if flip else z
-                yield pa.RecordBatch.from_arrays([pa.array(range(lo, hi), pa.int32()), pa.array(list(z.reshape(hi - lo, -1)), pa.list_(pa.float64()))], ["frame_idx", "pixels"])
-
-    tasks = -(-n // FRAMES_A_TASK)
-    frames = spark.range(0, n, FRAMES_A_TASK, max(1, tasks)).mapInArrow(run, "frame_idx int, pixels array<double>")
-    frames = frames.withColumns({"stack_id": F.lit(where), "width": F.lit(w)})
+        unit = unit_of(f[m][c])
+        (h, w), size, rate, known = facts(f, channel)
+        n = int(f[m][c][name].shape[1])
+    read = lambda frames: register(spark).read.format(FORMAT).option("channel", channel).option("flip", flip).option("frames", frames).load(str(path)).select(*FrameStack.key, "height", "width", "pixels")
     meta = [{"timestamp": i * h / rate, "line_rate": rate} for i in range(n)]
-    return FrameStack(units.by_declared_unit(explode_frames(frames), unit), n, h, w, size, channel, where, meta)
+    if unit not in units.TO_NM:
+        return FrameStack(units.by_declared_unit(explode_frames(read(":")), unit), n, h, w, size, channel, str(path), meta)
+    out = FrameStack(read(":"), n, h, w, size, channel, str(path), meta)
+    out.source = lambda low, high: read(f"{low}:{high}")
+    return out

@@ -1,17 +1,15 @@
-"""Folders of .jpk files: TIFF containers, one frame each, decoded on the executors."""
+"""Folders of .jpk files: TIFF containers, one frame each; read and written by the data source."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from stackloom.model import explode_frames
 from stackloom.sources import tiff
 from stackloom.stack import FrameStack
 
@@ -20,62 +18,78 @@ GRID_ULENGTH, GRID_ILENGTH = 32834, 32838
 CHANNEL_NAME, RETRACE = 32848, 32849
 N_SLOTS, DEFAULT_SLOT, FIRST_SLOT, SLOT_SIZE = 32896, 32897, 32912, 48
 SCALING_TYPE, SCALING, OFFSET = 32931, 32932, 32933
+#: Channels stored in metres: fixed values.
+LENGTHS = ("height", "measuredheight", "amplitude")
 
-DECODED = "path string, height int, width int, pixel_size_nm double, line_rate double, pixels array<double>"
+Image = Callable[[bool], np.ndarray]
 
 
-def decode(raw: bytes, channel: str, flip: bool = True) -> tuple[np.ndarray, float, float | None]:
-    """(frame in nm, nm per pixel, line rate) of a channel such as height_trace."""
+def channels(raw: bytes) -> Iterator[tuple[str, tuple[int, int], float, float | None, Image]]:
+    """Of each channel such as height_trace: name, (height, width), nm per pixel, line rate, and its frame in nm on demand."""
     all_pages = tiff.pages(raw)
     first = all_pages[0]
     size = float(first[GRID_ULENGTH][0]) / float(first[GRID_ILENGTH][0]) * 1e9
     rate = float(first[tiff.SCAN_RATE][0]) if tiff.SCAN_RATE in first else None
-    names = []
     for tags in all_pages[1:]:
         if CHANNEL_NAME not in tags:
             continue
-        names.append(f"{str(tags[CHANNEL_NAME][0]).strip().lower()}_{'trace' if not tags.get(RETRACE, (0,))[0] else 'retrace'}")
-        if names[-1] != channel:
-            continue
-        z = tiff.image(raw, tags)
-        slots = range(int(tags.get(N_SLOTS, (0,))[0]))
-        k = next((k for k in slots if tags.get(FIRST_SLOT + k * SLOT_SIZE) == tags.get(DEFAULT_SLOT)), None)
-        if k is not None and str(tags.get(SCALING_TYPE + k * SLOT_SIZE, ("",))[0]).startswith("Linear"):
-            z = z * float(tags[SCALING + k * SLOT_SIZE][0]) + float(tags[OFFSET + k * SLOT_SIZE][0])
-        z = z * 1e9 if names[-1].rpartition("_")[0] in ("height", "measuredheight", "amplitude") else z
-        return (np.flipud(z) if flip else z), size, rate
-    raise ValueError(f"no channel {channel!r}; there are {', '.join(names) or 'none'}")
-
-
-def frames_of(spark: SparkSession, folder: str | Path, channel: str, flip: bool = True) -> DataFrame:
-    """Decoded frames of all files, lazily and in parallel; frame_idx follows the paths' order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                z, size, rate = decode(raw.as_py(), channel, flip)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([z.shape[0]], pa.int32()), pa.array([z.shape[1]], pa.int32()), pa.array([size]), pa.array([rate], pa.float64()), pa.array([z.ravel().tolist()], pa.list_(pa.float64()))],
-                    [c.split()[0] for c in DECODED.split(", ")],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][pP][kK]").load(str(folder)).select("path", "content")
-    order = F.row_number().over(Window.orderBy("path")) - 1
-    # paths are numbered without contents, so the one-partition window holds names only
-    numbered = files.select("path").withColumn("frame_idx", order.cast("int"))
-    return files.mapInArrow(run, DECODED).join(numbered, "path").withColumn("stack_id", F.lit(str(folder)))
+        name = f"{str(tags[CHANNEL_NAME][0]).strip().lower()}_{'trace' if not tags.get(RETRACE, (0,))[0] else 'retrace'}"
+
+        def image(flip: bool, tags: dict = tags, name: str = name) -> np.ndarray:
+            z = tiff.image(raw, tags)
+            slots = range(int(tags.get(N_SLOTS, (0,))[0]))
+            k = next((k for k in slots if tags.get(FIRST_SLOT + k * SLOT_SIZE) == tags.get(DEFAULT_SLOT)), None)
+            if k is not None and str(tags.get(SCALING_TYPE + k * SLOT_SIZE, ("",))[0]).startswith("Linear"):
+                z = z * float(tags[SCALING + k * SLOT_SIZE][0]) + float(tags[OFFSET + k * SLOT_SIZE][0])
+            z = z * 1e9 if name.rpartition("_")[0] in LENGTHS else z
+            return np.flipud(z) if flip else z
+
+        yield name, (int(tags[tiff.LENGTH][0]), int(tags[tiff.WIDTH][0])), size, rate, image
+
+
+def encode(z: np.ndarray, channel: str, pixel_size_nm: float, line_rate: float = 0.0) -> bytes:
+    """A file of one channel, as a 64-bit page that channels() reads back; the first line is the lowest."""
+    name, _, direction = channel.rpartition("_")
+    h, w = z.shape
+    data = np.flipud(z / 1e9 if name in LENGTHS else z).astype("<f8").tobytes()
+    title = name.encode() + b"\0"
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
+
+    def page(tags: list[tuple[int, int, bytes]], last: bool) -> None:
+        begin = len(out)
+        tail = bytearray()
+        where = begin + 6 + 12 * len(tags)
+        out.extend(struct.pack("<H", len(tags)))
+        for tag, kind, value in sorted(tags):
+            n = len(value) // tiff.TYPES[kind][0]
+            inline = value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", where + len(tail))
+            out.extend(struct.pack("<HHI", tag, kind, n) + inline)
+            tail.extend(value if len(value) > 4 else b"")
+        out.extend(struct.pack("<I", 0 if last else where + len(tail)) + tail)
+
+    whole, real = (lambda v: struct.pack("<I", v)), (lambda v: struct.pack("<d", v))
+    page([(GRID_ULENGTH, 12, real(pixel_size_nm * 1e-9 * w)), (GRID_ILENGTH, 4, whole(w)), *([(tiff.SCAN_RATE, 12, real(line_rate))] if line_rate else [])], False)
+    tags = [(tiff.WIDTH, 4, whole(w)), (tiff.LENGTH, 4, whole(h)), (tiff.BITS, 3, struct.pack("<H", 64)), (tiff.FORMAT, 3, struct.pack("<H", 3)), (tiff.COUNTS, 4, whole(len(data))), (CHANNEL_NAME, 2, title), (RETRACE, 4, whole(direction == "retrace"))]
+    behind = len(out) + 6 + 12 * (len(tags) + 1) + (len(title) if len(title) > 4 else 0)
+    page([*tags, (tiff.OFFSETS, 4, whole(behind))], True)
+    return bytes(out) + data
 
 
 def load_folder(spark: SparkSession, folder: str | Path, channel: str = "height_trace", flip: bool = True) -> FrameStack:
-    """All frames must have one shape and, within rounding, one pixel size."""
-    frames = frames_of(spark, folder, channel, flip)
-    facts = frames.agg(F.count("*").alias("n"), F.count_distinct("height", "width").alias("shapes"), F.min("pixel_size_nm").alias("lo"), F.max("pixel_size_nm").alias("hi"), F.max("height").alias("h"), F.max("width").alias("w")).first()
+    """All frames must have one shape and, within rounding, one pixel size; facts come first, and pixels are decoded once, by who uses them."""
+    from stackloom.sources.datasource import FORMAT, register
+
+    source = register(spark).read.format(FORMAT).option("channel", channel).option("flip", flip)
+    facts = source.option("pixels", False).load(str(folder)).agg(F.count("*").alias("n"), F.count_distinct("height", "width").alias("shapes"), F.min("pixel_size_nm").alias("lo"), F.max("pixel_size_nm").alias("hi"), F.max("height").alias("h"), F.max("width").alias("w"), F.min_by("line_rate", "frame_idx").alias("rate")).first()
     if not facts["n"]:
         raise FileNotFoundError(f"{folder} has no .jpk files")
     if facts["shapes"] > 1:
         raise ValueError("the frames of this folder differ in shape")
     if not np.isclose(facts["lo"], facts["hi"]):
         raise ValueError("the frames of this folder differ in pixel size")
-    rate = frames.where("frame_idx = 0").select("line_rate").first()[0]
+    rate = facts["rate"]
     meta = [{"timestamp": i * facts["h"] / rate if rate else None, "line_rate": rate} for i in range(facts["n"])]
-    return FrameStack(explode_frames(frames), facts["n"], facts["h"], facts["w"], float(facts["lo"]), channel, str(folder), meta)
+    read = lambda frames: register(spark).read.format(FORMAT).option("channel", channel).option("flip", flip).option("frames", frames).load(str(folder)).select(*FrameStack.key, "height", "width", "pixels")
+    out = FrameStack(read(":"), facts["n"], facts["h"], facts["w"], float(facts["lo"]), channel, str(folder), meta)
+    out.source = lambda low, high: read(f"{low}:{high}")
+    return out

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from stackloom.sources import asd, h5jpk, jpk, npz
+from stackloom.sources import asd, files, h5jpk, jpk, npz
 from stackloom.stack import FrameStack
 
 
@@ -21,16 +21,16 @@ FILE_READERS: dict[str, Reader] = {".h5-jpk": h5jpk.load, ".asd": asd.load, ".np
 FOLDER_READERS: dict[str, Reader] = {".jpk": jpk.load_folder, ".spm": _no_spm}
 
 
-def folder_suffix(folder: Path, known: dict[str, Reader] = FOLDER_READERS) -> str:
+def folder_suffix(folder: str | Path, known: dict[str, Reader] = FOLDER_READERS) -> str:
     """.jpk if the folder has any, else its most frequent known suffix."""
-    many = Counter(p.suffix.lower() for p in sorted(folder.iterdir()) if p.is_file() and p.suffix.lower() in known)
+    many = Counter(s for s in (Path(n).suffix.lower() for n in files.names(folder)) if s in known)
     if not many:
         raise FileNotFoundError(f"{folder} has none of {', '.join(known)}")
     return ".jpk" if ".jpk" in many else many.most_common(1)[0][0]
 
 
-def file_suffix(path: Path) -> str:
-    suffix = path.suffix.lower()
+def file_suffix(path: str | Path) -> str:
+    suffix = Path(str(path)).suffix.lower()
     if suffix in FILE_READERS:
         return suffix
     if suffix in FOLDER_READERS:
@@ -39,9 +39,10 @@ def file_suffix(path: Path) -> str:
 
 
 def load_stack(spark: SparkSession, path: str | Path, channel: str = "height_trace") -> FrameStack:
-    path = Path(path)
-    if path.is_dir():
+    """From a local path or a URL."""
+    there = files.kind(path)
+    if there == "folder":
         return FOLDER_READERS[folder_suffix(path)](spark, path, channel)
-    if path.is_file():
+    if there == "file":
         return FILE_READERS[file_suffix(path)](spark, path, channel)
     raise FileNotFoundError(f"there is nothing at {path}")

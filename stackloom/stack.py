@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
@@ -33,6 +34,9 @@ class FrameStack:
         self.snapshots: dict[str, DataFrame] = {}
         self.masks: dict[str, DataFrame] = {}
         self.faults: Faults | None = None
+        #: Reads frames low to high of what was loaded, for those who need a few of them.
+        self.source: Callable[[int, int], DataFrame] | None = None
+        self._loaded = self.state
         self._raw: State | None = None
 
     @classmethod
@@ -91,9 +95,15 @@ class FrameStack:
             raise IndexError(f"frame {i} of {self.n_frames}")
         return i % self.n_frames
 
+    def _between(self, low: int, high: int) -> State:
+        """Frames low to high; of a stack that is still as loaded, nothing else is read."""
+        rows = self.source(low, high) if self.source and self.state is self._loaded else self.state.rows.where(F.col("frame_idx").between(low, high - 1))
+        return replace(self.state, rows=rows)
+
     def frame(self, i: int) -> np.ndarray:
-        """One frame as an array; the filter on its number reaches the source."""
-        rows = assemble_frames(self.pixels.where(F.col("frame_idx") == self._index(i))).first()
+        """One frame as an array."""
+        i = self._index(i)
+        rows = self._between(i, i + 1).to(FRAME).rows.first()
         return np.array(rows["pixels"]).reshape(self.height, self.width)
 
     def each_frame(self, rows: DataFrame | None = None) -> Iterator[np.ndarray]:
@@ -132,7 +142,7 @@ class FrameStack:
         a, step = chosen.start, chosen.step
         low, high = (min(chosen), max(chosen)) if len(chosen) else (0, -1)
         at = F.col("frame_idx") - a
-        rows = self.pixels.where(F.col("frame_idx").between(low, high) & (at % step == 0)).withColumn("frame_idx", (at / step).cast("int"))
+        rows = self._between(low, high + 1).rows.where(at % step == 0).withColumn("frame_idx", (at / step).cast("int"))
         return FrameStack(rows, len(chosen), self.height, self.width, self.pixel_size_nm, self.channel, self.file_path, [self.frame_metadata[i] for i in chosen])
 
     def apply(self, names: list[str], **params: Any) -> DataFrame:
