@@ -44,14 +44,14 @@ from stackloom.llm import kernel as K
 from stackloom.llm.spark import cut, parts, tidy
 
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
-COUNTERS, BLOCK, CELLS = 1_000_000, 4096, 1 << 20
+COUNTERS, BLOCK, CELLS = 800_000, 4096, 1 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
 class Trie:
-    """Radix trie over bytes: a node is [edge, children by first byte or None, row numbers or None].
+    """Radix trie over bytes: a node is [edge, children by first byte or None, leaf or None], a leaf one row number or a list.
 
     A leaf's counters stand in the rows of an Arrow table that its numbers point to, so adding a
     leaf's rows to those of another trie's leaf is all that merging takes.
@@ -82,11 +82,14 @@ class Trie:
             below[0] = edge[same:]
             children[term[at]] = middle
             node, at = middle, at + same
-        if node[2] is None:
-            node[2] = [row]
+        leaf = node[2]
+        if leaf is None:
+            node[2] = row
             self.leaves += 1
+        elif isinstance(leaf, list):
+            leaf.append(row)
         else:
-            node[2].append(row)
+            node[2] = [leaf, row]
 
     def merge(self, other: Trie, shift: int = 0) -> None:
         """Adds the leaves of a trie whose rows stand `shift` further down."""
@@ -101,11 +104,22 @@ class Trie:
             before, node = stack.pop()
             term = before + node[0]
             if node[2] is not None:
-                yield term, node[2]
+                yield term, node[2] if isinstance(node[2], list) else [node[2]]
             if node[1] is not None:
                 stack.extend([(term, node[1][b]) for b in sorted(node[1], reverse=True)])
 
 
+def traversal(terms: pa.ChunkedArray) -> pa.Array:
+    """Row numbers of different terms in the order of their trie."""
+    trie = Trie()
+    for piece in terms.chunks:
+        shift = trie.leaves
+        for start in range(0, len(piece), 10_000):
+            for row, term in enumerate(piece[start : start + 10_000].to_pylist(), shift + start):
+                trie.add(term, row)
+    return pa.array((rows[0] for _, rows in trie.walk()), pa.int64())
+
+
 LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 _LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
@@ -178,12 +192,10 @@ def leaves(docs: DataFrame, most: int = COUNTERS) -> DataFrame:
         of = pa.array([lang for lang, _ in names]).dictionary_encode()
         t = t.append_column("lang", pa.array(of.indices.to_numpy()[g])).append_column("source", pa.array([s for _, s in names]).take(pa.array(g)))
         t = t.group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum"), ("source", "list"), ("n", "list")]).combine_chunks()
+        del found[:]
         for k, lang in enumerate(of.dictionary.to_pylist()):
             own = t.filter(pc.equal(t["lang"], k))
-            trie = Trie()
-            for row, term in enumerate(own["term"].to_pylist()):
-                trie.add(term, row)
-            own = own.take(pa.array([r for _, rows in trie.walk() for r in rows], pa.int64()))
+            own = own.take(traversal(own["term"]))
             out = pa.Table.from_arrays([pa.array([lang] * own.num_rows, pa.string()), own["term"].cast(pa.string()), own["docs_sum"], own["source_list"].cast(pa.list_(pa.string())), own["n_list"].cast(pa.list_(pa.int64()))], schema=_LEAF)
             yield from out.combine_chunks().to_batches(10_000)
 
@@ -302,12 +314,9 @@ def _compare(top: int):
         index = {s: k for k, s in enumerate(names)}
         below = groups["below"].to_numpy()
         everyone = groups["lang_below"][0].as_py()
-        trie = Trie()
-        for row, term in enumerate(terms["term"].to_pylist()):
-            trie.add(term.encode(), row)
-        order = [r for _, rows in trie.walk() for r in rows]
-        words = terms["term"].take(pa.array(order)).to_pylist()
-        sources, counts = (terms[c].take(pa.array(order)).to_pylist() for c in ("sources", "counts"))
+        order = traversal(terms["term"].cast(pa.binary()))
+        words = terms["term"].take(order).to_pylist()
+        sources, counts = (terms[c].take(order).to_pylist() for c in ("sources", "counts"))
         m, step = len(names), max(1, CELLS // len(names))
         sums = np.zeros((m, m), np.int64)
         best: list[list[tuple[int, int]]] = [[] for _ in names]
