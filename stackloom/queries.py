@@ -180,6 +180,23 @@ def scale_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.with_scale_bar(rows, EV_H, 20.0, 2.5).select(*FRAME_KEY, "y", "x", "rgb.r", "rgb.g", "rgb.b")
 
 
+def scale_bar_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = display.pad_square(events_raster(spark, sf_dir), EV_H, EV_W)
+    rows = display.with_scale_bar(display.grey(square).withColumn("rgb", display.heat(F.col("g"))), EV_H, 20.0, 2.5)
+    return display.with_text(rows, display.time_text(F.col("frame_idx") * 0.25), 1, 2).select(*FRAME_KEY, "y", "x", "rgb.r", "rgb.g", "rgb.b")
+
+
+def letterbox_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event frames of 24 x 6 as 16 x 4 in a window of 16 x 9."""
+    return display.in_window(display.grey(events_raster(spark, sf_dir)), EV_H, EV_W, 16, 9, ["g"])
+
+
+def letterbox_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coloured frames of 8 x 8 as 19 x 19 in a window of 19 x 30."""
+    rows = display.grey(emb(spark, sf_dir)).withColumn("c", display.heat(F.col("g"))).select(*FRAME_KEY, "y", "x", "c.r", "c.g", "c.b")
+    return display.in_window(rows, H, W, 19, 30, ["r", "g", "b"], 7)
+
+
 def _chosen(spark: SparkSession, sf_dir: str, steps: list[Step], rows: DataFrame | None = None, combine: str = "or") -> State:
     """Steps over the embeddings stack, each in the form that the chain's costs choose."""
     start = State(emb_frames(spark, sf_dir) if rows is None else rows, FRAME, H, W)
@@ -288,7 +305,7 @@ _NAMED: dict[str, Query] = {
     "pipeline_quickstart": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 5),
     "pipeline_events": _steps("remove_plane;mask_mean_offset:factor=1;row_median_align", 6, events_raster, (EV_H, EV_W)),
 }
-_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, reread_stack, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, pipeline_default, pipeline_default_pixels, pipeline_default_frames, pipeline_mixed, step_faults, pipeline_lineitem, user_filter, wrong_parameters]
+_PLAIN: list[Query] = [explode_frames, assemble_frames, rasterize_events, rasterize_lineitem, flip_vertical, slice_frames, frame_at, reread_stack, frame_meta, generate_timestamps, normalize_timestamps, guess_units, standardize_units, convert_units, unit_policies, frame_stats, normalize_uint8, pad_square, colormap, scale_bar, scale_bar_and_time, letterbox_down, letterbox_up, pipeline_default, pipeline_default_pixels, pipeline_default_frames, pipeline_mixed, step_faults, pipeline_lineitem, user_filter, wrong_parameters]
 
 
 def queries() -> dict[str, Query]:
@@ -399,6 +416,17 @@ _UNIT = "CASE WHEN s > 1e4 THEN 'pm' WHEN s > 1e-2 THEN 'nm' WHEN s > 1e-4 THEN
 _SQUARE = f"sq AS (SELECT f.stack_id, f.frame_idx, CAST(g // 24 AS INTEGER) AS y, CAST(g % 24 AS INTEGER) AS x, coalesce(z, {{border}}) AS z FROM (SELECT DISTINCT stack_id, frame_idx FROM px) f CROSS JOIN generate_series(0, 575) t(g) LEFT JOIN px ON px.stack_id = f.stack_id AND px.frame_idx = f.frame_idx AND px.y = g // 24 AND px.x = g % 24 - 9)"
 
 
+def _window_sql(ctes: str, size: tuple[int, int], fit: tuple[int, int], window: tuple[int, int], values: str, border: int) -> str:
+    """Means by overlap from px, in the middle of a window."""
+    (h, w), (a, b), (p, q) = size, fit, window
+    over = lambda t, s, n, to: f"(least(({t} + 1) * {n}, ({s} + 1) * {to}) - greatest({t} * {n}, {s} * {to}))"
+    oy, ox = over("ty", "y", h, a), over("tx", "x", w, b)
+    means = ", ".join(f"CAST(floor(sum({v} * {oy} * {ox}) / {h * w}::DOUBLE + 0.5) AS INTEGER) AS {v}" for v in values)
+    return f"""WITH {ctes}, small AS (SELECT stack_id, frame_idx, ty, tx, {means} FROM px8, generate_series(0, {a - 1}) s(ty), generate_series(0, {b - 1}) t(tx) WHERE {oy} > 0 AND {ox} > 0 GROUP BY ALL)
+SELECT f.stack_id, f.frame_idx, CAST(g.k // {q} AS INTEGER) AS y, CAST(g.k % {q} AS INTEGER) AS x, {", ".join(f"coalesce(small.{v}, {border}) AS {v}" for v in values)}
+FROM (SELECT DISTINCT stack_id, frame_idx FROM px8) f CROSS JOIN generate_series(0, {p * q - 1}) g(k) LEFT JOIN small ON small.stack_id = f.stack_id AND small.frame_idx = f.frame_idx AND ty = g.k // {q} - {(p - a) // 2} AND tx = g.k % {q} - {(q - b) // 2}"""
+
+
 def _to_nm(base: str) -> str:
     return f"{base}, u AS (SELECT stack_id, {_UNIT} AS unit FROM (SELECT stack_id, max(z) - min(z) AS s FROM px GROUP BY 1)), nm AS (SELECT px.* REPLACE (z * CASE unit WHEN 'pm' THEN 1e-3 WHEN 'nm' THEN 1 WHEN 'um' THEN 1e3 WHEN 'mm' THEN 1e6 ELSE 1e9 END AS z) FROM px JOIN u USING (stack_id))"
 
@@ -433,6 +461,12 @@ def oracle_sql() -> dict[str, str]:
         "pad_square": f"WITH {_EV}, {_SQUARE.format(border='-1.0')} SELECT {_PX}, {_r('z', 4)} AS z FROM sq",
         "colormap": f"WITH {_EMB} SELECT {_PX}, {_HEAT} FROM (SELECT *, {_GREY} AS g FROM px)",
         "scale_bar": f"WITH {_EV}, {_SQUARE.format(border='0.0')}, k AS (SELECT *, {_GREY} AS g FROM sq), h AS (SELECT {_PX}, {_HEAT} FROM k) SELECT {_PX}, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE r END AS INTEGER) AS r, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE g END AS INTEGER) AS g, CAST(CASE WHEN y BETWEEN 4 AND 9 AND x BETWEEN 10 AND 18 THEN 255 ELSE b END AS INTEGER) AS b FROM h",
+        "scale_bar_and_time": f"WITH {_EV}, {_SQUARE.format(border='0.0')}, k AS (SELECT *, {_GREY} AS g FROM sq), h AS (SELECT {_PX}, {_HEAT} FROM k), glyphs(ch, gy, gx) AS (VALUES {', '.join(f"('{c}', {y}, {x})" for c, rows in display.FONT.items() for y, bits in enumerate(rows) for x in range(3) if int(bits) >> (2 - x) & 1)}), "
+        "t AS (SELECT h.*, substr(printf('Time: %.2f s', frame_idx * 0.25), CAST((x - 2) // 4 AS BIGINT) + 1, 1) AS ch FROM h), "
+        "l AS (SELECT t.*, glyphs.ch IS NOT NULL OR (t.y BETWEEN 4 AND 9 AND t.x BETWEEN 10 AND 18) AS lit FROM t LEFT JOIN glyphs ON glyphs.ch = t.ch AND glyphs.gy = t.y - 1 AND t.x >= 2 AND glyphs.gx = (t.x - 2) % 4) "
+        f"SELECT {_PX}, CAST(CASE WHEN lit THEN 255 ELSE r END AS INTEGER) AS r, CAST(CASE WHEN lit THEN 255 ELSE g END AS INTEGER) AS g, CAST(CASE WHEN lit THEN 255 ELSE b END AS INTEGER) AS b FROM l",
+        "letterbox_down": _window_sql(f"{_EV}, px8 AS (SELECT {_PX}, {_GREY} AS g FROM px)", (EV_H, EV_W), (16, 4), (16, 9), "g", 0),
+        "letterbox_up": _window_sql(f"{_EMB}, px8 AS (SELECT {_PX}, {_HEAT} FROM (SELECT *, {_GREY} AS g FROM px))", (H, W), (19, 19), (19, 30), "rgb", 7),
         "pipeline_default": default,
         "pipeline_default_pixels": default,
         "pipeline_default_frames": default,

@@ -7,13 +7,7 @@ from pathlib import Path
 
 import numpy as np
 
-from stackloom.functions.display import BAR_HEIGHT, BAR_LEFT, BAR_UP, bar_pixels
-
-#: A 3 x 5 bitmap font, rows from the top: fixed values.
-FONT = {
-    "0": "75557", "1": "26227", "2": "71747", "3": "71717", "4": "55711", "5": "74717", "6": "74757", "7": "71122", "8": "75757", "9": "75717",
-    ".": "00002", ":": "02020", "-": "00700", " ": "00000", "T": "72222", "i": "20222", "m": "00775", "e": "02764", "s": "03262", "n": "00655",
-}
+from stackloom.functions.display import BAR_HEIGHT, BAR_LEFT, BAR_UP, FONT, bar_pixels
 
 
 def heat_palette() -> np.ndarray:
