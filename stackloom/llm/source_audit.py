@@ -32,6 +32,7 @@ chunk and by their bytes everywhere else.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,50 +47,47 @@ from stackloom.llm.spark import cut, parts, tidy
 MIN_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 COUNTERS, BLOCK, CELLS = 800_000, 4096, 1 << 20
 
+OTHER_CODE = K.stream(0x1F3, 256) | K.U64(1)
 LETTER = np.zeros(256, bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
 class Trie:
-    """Radix trie over bytes: a node is [edge, children by first byte or None, leaf or None], a leaf one row number or a list.
+    """Radix trie over bytes, STRIDE of them an edge: a node maps the next bytes to a node or to a leaf.
 
-    A leaf's counters stand in the rows of an Arrow table that its numbers point to, so adding a
-    leaf's rows to those of another trie's leaf is all that merging takes.
+    A leaf is (bytes that no other term shares, row number or list of them); it becomes a node when
+    a second term comes by.  A term that ends in between has a shorter last edge, which sorts
+    first.  Counters stand in the rows of an Arrow table, so merging tries is adding up row numbers.
     """
 
+    STRIDE = 4
+
     def __init__(self) -> None:
-        self.root: list = [b"", None, None]
+        self.root: dict = {}
         self.leaves = 0
 
     def add(self, term: bytes, row: int) -> None:
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            children = node[1]
-            if children is None:
-                children = node[1] = {}
-            below = children.get(term[at])
-            if below is None:
-                node = children[term[at]] = [term[at:], None, None]
-                break
-            edge = below[0]
-            if term.startswith(edge, at):
-                node, at = below, at + len(edge)
+        node, at, step = self.root, 0, self.STRIDE
+        while True:
+            edge = term[at : at + step]
+            at += step
+            child = node.get(edge)
+            if child is None:
+                node[edge] = (term[at:], row)
+                self.leaves += 1
+                return
+            if type(child) is dict:
+                node = child
                 continue
-            same = 1
-            while same < len(edge) and at + same < end and edge[same] == term[at + same]:
-                same += 1
-            middle = [edge[:same], {edge[same]: below}, None]
-            below[0] = edge[same:]
-            children[term[at]] = middle
-            node, at = middle, at + same
-        leaf = node[2]
-        if leaf is None:
-            node[2] = row
-            self.leaves += 1
-        elif isinstance(leaf, list):
-            leaf.append(row)
-        else:
-            node[2] = [leaf, row]
+            rest, rows = child
+            if rest == term[at:]:
+                if isinstance(rows, list):
+                    rows.append(row)
+                else:
+                    node[edge] = (rest, [rows, row])
+                return
+            node[edge] = below = {rest[:step]: (rest[step:], rows)}
+            node = below
 
     def merge(self, other: Trie, shift: int = 0) -> None:
         """Adds the leaves of a trie whose rows stand `shift` further down."""
@@ -101,23 +99,26 @@ class Trie:
         """Terms and rows in order of bytes, which in UTF-8 is that of code points."""
         stack = [(b"", self.root)]
         while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2] if isinstance(node[2], list) else [node[2]]
-            if node[1] is not None:
-                stack.extend([(term, node[1][b]) for b in sorted(node[1], reverse=True)])
+            before, child = stack.pop()
+            if type(child) is dict:
+                stack.extend([(before + edge, child[edge]) for edge in sorted(child, reverse=True)])
+            else:
+                yield before + child[0], child[1] if isinstance(child[1], list) else [child[1]]
 
 
 def traversal(terms: pa.ChunkedArray) -> pa.Array:
     """Row numbers of different terms in the order of their trie."""
-    trie = Trie()
-    for piece in terms.chunks:
-        shift = trie.leaves
-        for start in range(0, len(piece), 10_000):
-            for row, term in enumerate(piece[start : start + 10_000].to_pylist(), shift + start):
-                trie.add(term, row)
-    return pa.array((rows[0] for _, rows in trie.walk()), pa.int64())
+    gc.disable()  # nodes form no cycles, and looking for some takes longer than all the rest
+    try:
+        trie = Trie()
+        for piece in terms.chunks:
+            shift = trie.leaves
+            for start in range(0, len(piece), 10_000):
+                for row, term in enumerate(piece[start : start + 10_000].to_pylist(), shift + start):
+                    trie.add(term, row)
+        return pa.array((rows[0] for _, rows in trie.walk()), pa.int64())
+    finally:
+        gc.enable()
 
 
 LEAF = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
@@ -132,16 +133,16 @@ def chunk_terms(c: K.Chunk, group: np.ndarray) -> pa.Table:
     start, end, first = c.words(LETTER)
     if not len(start):
         return FOUND.empty_table()
-    prefix = c.prefix(True)
-    h = K.hash_of(prefix, start, end)
-    # a second hash, of other codes and a length, keeps different terms of equal hash apart
+    h = K.hash_of(c.prefix(True), start, end)
+    # a second hash, of other codes and the length, keeps different terms of equal hash apart
     folded = K.FOLD[c.buf]
     other = np.zeros(len(folded) + 1, K.U64)
-    np.cumsum(K.mix(folded.astype(K.U64) + K.U64(0x1F3)) * K.powers(len(folded))[0][: len(folded)], dtype=K.U64, out=other[1:])
-    h2 = K.hash_of(other, start, end) ^ (end - start).astype(K.U64)
+    np.cumsum(OTHER_CODE[folded] * K.powers(len(folded))[0][: len(folded)], dtype=K.U64, out=other[1:])
+    h2 = K.hash_of(other, start, end) + (end - start).astype(K.U64)
     doc = np.repeat(np.arange(c.n), np.diff(first))
     g = group[doc]
-    order = np.lexsort((doc, h2, h, g))
+    # equal ones stand together, in the order of their documents
+    order = np.argsort(h + h2 * K.U64(0x9E3779B97F4A7C15) + K.mix(g.astype(K.U64)), kind="stable")
     h, h2, g, doc = h[order], h2[order], g[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (g[1:] != g[:-1])
@@ -174,7 +175,7 @@ def leaves(docs: DataFrame, most: int = COUNTERS) -> DataFrame:
         for b in batches:
             pairs = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
             group = np.array([known.setdefault(p, len(known)) for p in pairs], np.int64)
-            for c in K.chunks(b.column(0), 4 * K.CHUNK):
+            for c in K.chunks(b.column(0), 2 * K.CHUNK):
                 found.append(chunk_terms(c, group[c.rows]))
                 held += found[-1].num_rows
                 if held > most:
