@@ -184,19 +184,28 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def failed(error: Exception, code: int) -> None:
+    log.error("%s", error)
+    sys.exit(code)
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Exit codes: 0 without a command, 1 for any error of a command."""
+    """Exit codes: 0 without a command; 1 for any error of a command and for input that can't be loaded; 2 for errors around it."""
     p = parser()
     args = p.parse_args(argv)
-    setup_logging(args.log_level)
-    if not args.command:
-        p.print_help(sys.stderr)
-        sys.exit(0)
     try:
-        args.action(args)
+        setup_logging(args.log_level)
+        if not args.command:
+            p.print_help(sys.stderr)
+            sys.exit(0)
+        try:
+            args.action(args)
+        except Exception as e:
+            failed(e, 1)
+    except LoadError as e:
+        failed(e, 1)
     except Exception as e:
-        log.error("%s", e)
-        sys.exit(1)
+        failed(e, 2)
 
 
 if __name__ == "__main__":

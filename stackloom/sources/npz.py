@@ -17,9 +17,13 @@ def load(spark: SparkSession, path: str | Path, channel: str = "height_trace") -
         return FrameStack.from_numpy(spark, data.astype(float), float(f["pixel_size_nm"]), str(f["channel"]), str(path), meta)
 
 
+def seconds(times: list[float | None]) -> np.ndarray:
+    """Times as numbers; NaN where there is none."""
+    return np.fromiter((float("nan") if t is None else t for t in times), float, len(times))
+
+
 def save(path: str | Path, stack: np.ndarray, pixel_size_nm: float, timestamps: list[float | None], channel: str) -> Path:
     """Compressed data float32, pixel_size_nm float32, timestamps float64 (NaN: none), channel as text."""
     path = Path(path).with_suffix(".npz")
-    times = np.array([np.nan if t is None else float(t) for t in timestamps], float)
-    np.savez_compressed(path, data=stack.astype(np.float32), pixel_size_nm=np.float32(pixel_size_nm), timestamps=times, channel=np.array(channel))
+    np.savez_compressed(path, data=stack.astype(np.float32), pixel_size_nm=np.float32(pixel_size_nm), timestamps=seconds(timestamps), channel=np.array(channel))
     return path

@@ -353,6 +353,49 @@ def test_wizard(spark, stack, tmp_path, monkeypatch):
     assert e.value.code == 0
 
 
+def test_exit_codes(monkeypatch, tmp_path):
+    def fails(error):
+        def action(*_):
+            raise error
+
+        return action
+
+    where = {"action": lambda e: monkeypatch.setattr(cli, "run", fails(e)), "around": lambda e: monkeypatch.setattr(cli, "setup_logging", fails(e))}
+    for place, error, code in (("action", LoadError("x"), 1), ("action", RuntimeError("x"), 1), ("around", LoadError("x"), 1), ("around", RuntimeError("x"), 2)):
+        where[place](error)
+        with pytest.raises(SystemExit) as e:
+            cli.main(["run", str(tmp_path)])
+        assert e.value.code == code
+
+
+def test_declared_plugin(monkeypatch, stack):
+    import tomllib
+    from importlib.metadata import EntryPoint
+    from pathlib import Path
+
+    declared = tomllib.loads((Path(cli.__file__).resolve().parents[1] / "pyproject.toml").read_text())["project"]["entry-points"][registry.ENTRY_POINTS]
+    points = [EntryPoint(n, v, registry.ENTRY_POINTS) for n, v in declared.items()]
+    monkeypatch.setattr(registry, "entry_points", lambda group: points if group == registry.ENTRY_POINTS else [])
+    Pipeline(stack).add(parse_steps("median_filter:size=3;zero_mean")).run()
+    z = np.arange(16.0).reshape(4, 4)
+    one = np.array([[np.median(np.pad(z, 1, mode="symmetric")[y : y + 3, x : x + 3]) for x in range(4)] for y in range(4)])
+    np.testing.assert_allclose(stack[0], one - one.mean(), atol=1e-9)
+
+
+def test_entry_module_leaves_out_what_cannot_be_imported(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "stackloom.llm.queries", None)
+    with pytest.warns(UserWarning, match="left out"):
+        importlib.reload(entry)
+    assert "remove_plane" in entry.queries() and not any(q.startswith("op") for q in entry.queries())
+    monkeypatch.undo()
+    importlib.reload(entry)
+
+
 def test_stream(spark, stack, tmp_path):
     from stackloom.streaming import frames as S
 
