@@ -268,7 +268,7 @@ def user_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     register_filter("twice_or_fail", twice_or_fail)
     rows = run_frames(emb_frames(spark, sf_dir), [Step("twice_or_fail", {"factor": 3.0})])
-    return rows.select(*FRAME_KEY, "errors", F.round(F.get("pixels", F.lit(0)), 6).alias("p0"))
+    return rows.select(*FRAME_KEY, "errors", whole("pixels").alias("pixels"))
 
 
 def wrong_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "pipeline_mixed": own.centred().sql(5),
         "step_faults": f"WITH {', '.join(corner.ctes)} SELECT k AS step, CASE k WHEN 'step_5_polynomial_flatten' THEN frames WHEN 'step_4_flipped' THEN failed ELSE 0 END AS frames FROM (SELECT count(*) AS frames, count(*) FILTER (z > 0) AS failed FROM {corner.last} WHERE y = 0 AND x = 0), (VALUES ('step_1_remove_plane'), ('step_2_left_half'), ('step_3_row_median_align'), ('step_4_flipped'), ('step_5_polynomial_flatten'), ('step_6_mask_threshold'), ('step_7_zero_mean')) t(k)",
         "pipeline_lineitem": c(_LI, LI_H, LI_W).fit(1).medians().sql(2),
-        "user_filter": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CAST(embedding[1] < 0 AS INTEGER) AS errors, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN embedding[1] < 0 THEN 1 ELSE 3 END, 6) AS p0 FROM embeddings",
+        "user_filter": "SELECT CAST(label AS VARCHAR) AS stack_id, CAST(vec_id AS INTEGER) AS frame_idx, CAST(embedding[1] < 0 AS INTEGER) AS errors, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * (CASE WHEN embedding[1] < 0 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)), ',') AS pixels FROM embeddings",
         "wrong_parameters": c().m(above(0)).sql(),
         "mask_threshold": c().m(above(0.05)).sql(),
         "mask_below_threshold": c().m("z < 0.05").sql(),
