@@ -8,8 +8,9 @@ the text's length goes through a logistic curve fitted to labelled texts: that i
 Learning takes whole texts: of each class at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES``
 bytes, chosen by hash among those whose crc32 of doc_id modulo 5 isn't 0; rows over ``ROW_BYTES``
 are left out.  Null and empty texts get the score that the curve has at difference 0.  Repeated
-rows are scored each; without any label of both classes every score is the share of good labels
-(0.5 without labels).  Labels with a null id or another value than 0 and 1 teach nothing; a doc_id
+rows are scored each; with fewer than 12 labelled texts, or fewer than 4 of a class, every score
+is the share of good labels (0.5 without labels).  Where zstandard finds too little text to choose
+from, the end of the class's texts themselves is its dictionary.  Labels with a null id or another value than 0 and 1 teach nothing; a doc_id
 (bigint) may be null.
 """
 

@@ -14,8 +14,9 @@ start from the log odds of words and beginnings.  A toxic text doesn't say where
 each round learns from the window that scores highest so far, and from the highest and random
 windows of the others.
 
-Null and empty texts have one window without words.  Repeated rows are scored each.  Without
-labels of both classes every score is the mean label (0.5 without labels).  Labels with a null id
+Null and empty texts have one window without words.  Repeated rows are scored each.  With fewer
+than 12 labelled texts, or fewer than 4 of a class, nothing can be learnt and every score is the
+mean label (0.5 without labels).  Very long texts are one piece of work.  Labels with a null id
 or another value than 0 and 1 teach nothing; a doc_id (bigint) may be null.
 """
 
