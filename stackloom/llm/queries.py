@@ -128,11 +128,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM f"""
 
 
+# links by an equi-join of shingles, components by what can be reached
+_JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON least.a = d.doc_id"""
+
+# strings are hashed inside of blocks of 500 starts, so that no substring is cut from far inside of a text
+_SUFFIX_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, len(h) // 2 AS n, f, substr(h, CAST(2 * f + 1 AS BIGINT), 1798) AS piece FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 400, 500)) AS f FROM d WHERE len(h) >= 800)),
+p AS (SELECT doc_id, f + o AS i, hash(substr(piece, CAST(2 * o + 1 AS BIGINT), 800)) AS k FROM (SELECT doc_id, f, piece, unnest(generate_series(0, least(499, n - 400 - f))) AS o FROM blocks)),
+again AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p JOIN again ON p.k = again.k),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY doc_id, run),
+total AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z FROM spans GROUP BY doc_id),
+pieces AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(z, 0), len(h) // 2 FROM d LEFT JOIN total ON total.doc_id = d.doc_id),
+kept AS (SELECT d.doc_id AS doc_id, string_agg(substr(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (t - f) AS BIGINT)), '' ORDER BY f, t) AS h FROM pieces JOIN d ON d.doc_id = pieces.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": _CHAT_SQL,
         "op3_benchmark_decontamination": _DECONTAM_SQL,
+        "op5_ngram_jaccard_join": _JOIN_SQL,
         "op7_quality_rules": _RULES_SQL,
+        "op9_suffix_dedup": _SUFFIX_SQL,
         "op10_url_filters": url_graph.oracle(),
         "op11_fill_in_middle": fim.oracle(),
         "op13_source_divergence": source_audit.oracle(),
