@@ -22,7 +22,10 @@ others.  Line numbers count from 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,14 @@ FEW = 127
 MOST = 1092 * RUN
 
 
+def words(line: Column) -> Column:
+    """Words of letters and digits in lower case."""
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def normal(line: Column) -> Column:
-    """Words of letters and digits in lower case, a space between them."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    """The words with a space between them."""
+    return F.array_join(words(line), " ")
 
 
 def simhash(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -57,38 +65,50 @@ def simhash(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     Four longs hold 60 counters of 4 bits for each run of 15 words; runs add up in 8 longs with
     counters of 8 bits, or in 16 with counters of 16 bits for long lines.  These are decided by
-    adding the same number to all and looking at a high bit.
+    adding the same number to all and looking at a high bit.  Up to FEW words have a column each, as
+    Spark compiles sums of columns but interprets functions of array elements.
     """
     nothing = F.lit(0).cast("bigint")
     starts = F.sequence(F.lit(0), F.expr(f"(size(x) - 1) div {RUN}"))
-    rows = rows.select(*keep, F.when(F.col("x").isNotNull(), F.size("x")).alias("n"), F.when(F.size("x") > 0, F.transform(starts, lambda i: F.slice("x", i * RUN + 1, RUN))).alias("r"))
+    many = F.size("x") > FEW
+    word = [F.when(~many, F.coalesce(F.get("x", F.lit(k)), nothing)).alias(f"w{k}") for k in range(FEW)]
+    rows = rows.select(*keep, F.when(F.col("x").isNotNull(), F.size("x")).alias("n"), F.when(many, F.transform(starts, lambda i: F.slice("x", i * RUN + 1, RUN))).alias("r"), *word)
+
+    def lane(h: Column, j: int) -> Column:
+        return F.shiftrightunsigned(h, j).bitwiseAND(F.lit(NIBBLES))
 
     def count(j: int) -> Column:
-        return F.transform("r", lambda run: F.aggregate(run, nothing, lambda t, h: t + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(NIBBLES))))
+        return F.transform("r", lambda run: F.aggregate(run, nothing, lambda t, h: t + lane(h, j)))
 
-    rows = rows.select(*keep, "n", *[count(j).alias(f"l{j}") for j in range(4)])
+    runs = range(0, FEW, RUN)
+    few = [reduce(add, [lane(F.col(f"w{k}"), j) for k in range(i, min(i + RUN, FEW))]).alias(f"l{j}_{i}") for j in range(4) for i in runs]
+    rows = rows.select(*keep, "n", *[count(j).alias(f"l{j}") for j in range(4)], *few)
 
-    def majority(width: int, mask: int, ones: int) -> Column:
+    def majority(width: int, mask: int, ones: int, total: Callable[[int, int, int], Column]) -> Column:
         """From counters of `width` bits; counter i of the long for (j, k) is that of bit i * width + 4 * k + j."""
-        add = (F.lit((1 << (width - 2)) - 1) - F.expr("n div 2")).cast("bigint") * F.lit(ones)
+        more = (F.lit((1 << (width - 2)) - 1) - F.expr("n div 2")).cast("bigint") * F.lit(ones)
         out = nothing
         for i in range(width):
-            total = F.aggregate(f"l{i % 4}", nothing, lambda t, v: t + F.shiftrightunsigned(v, i // 4 * 4).bitwiseAND(F.lit(mask)))  # noqa: B023
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(total + add, width - 2).bitwiseAND(F.lit(ones)), i))
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(total(i % 4, i // 4 * 4, mask) + more, width - 2).bitwiseAND(F.lit(ones)), i))
         return out
 
-    short, middle, long_ = majority(8, BYTES, 0x0101010101010101), majority(16, WIDE, 0x0001000100010001), nothing
+    def of_columns(j: int, shift: int, mask: int) -> Column:
+        return reduce(add, [F.shiftrightunsigned(F.col(f"l{j}_{i}"), shift).bitwiseAND(F.lit(mask)) for i in runs])
+
+    def of_arrays(j: int, shift: int, mask: int) -> Column:
+        return F.aggregate(f"l{j}", nothing, lambda t, v: t + F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask)))
+
+    short, middle, long_ = majority(8, BYTES, 0x0101010101010101, of_columns), majority(16, WIDE, 0x0001000100010001, of_arrays), nothing
     for bit in range(BITS):
-        total = F.aggregate(f"l{bit % 4}", nothing, lambda t, v: t + F.shiftrightunsigned(v, bit // 4 * 4).bitwiseAND(F.lit(15)))  # noqa: B023
-        long_ = long_.bitwiseOR(F.when(total * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
+        long_ = long_.bitwiseOR(F.when(of_arrays(bit % 4, bit // 4 * 4, 15) * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
     return rows.select(*keep, F.when(F.col("n") <= FEW, short).when(F.col("n") <= MOST, middle).when(F.col("n") > MOST, long_).alias("s"))
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """doc_id, line, h (of the normalised line), s (its SimHash; null for short lines) for all lines but white space; no shuffle."""
     lines = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.where(F.col("raw").rlike(r"[^\s\p{Z}]")).select("doc_id", "line", "raw", normal(F.col("raw")).alias("norm"))
-    lines = lines.select("doc_id", "line", "raw", "norm", F.split("norm", " ").alias("w"))
+    lines = lines.where(F.col("raw").rlike(r"[^\s\p{Z}]")).select("doc_id", "line", "raw", words(F.col("raw")).alias("w"))
+    lines = lines.select("doc_id", "line", "raw", "w", F.array_join("w", " ").alias("norm"))
     few = F.size("w") < MIN_WORDS
     short = few & (F.length("norm") < MIN_CHARS)
     # an h of its own kind: no normalised line has it
@@ -122,18 +142,22 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) whose texts are similar enough."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("tb")), "b")
     longer = F.greatest(F.length("ta"), F.length("tb"))
-    both = both.select("a", "b", "ta", "tb", longer.alias("longer"), F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int").alias("most"), F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"))
+    both = both.where(longer * 2 - F.length("ta") - F.length("tb") <= F.floor(longer * (1 - SIMILARITY) + 1e-9))
+    both = both.select("a", "b", F.floor(longer * (1 - SIMILARITY) + 1e-9).cast("int").alias("most"), F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"))
     # changing word after word is one way from a to b, and changing all between the first and the last
-    # different word another: their costs prove most pairs, the others are measured
+    # different word another: their costs prove most pairs; the others are measured between these words,
+    # as what both texts begin and end with adds nothing
     change = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda t, x: t + x)
     same = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int") - 1
     both = both.select("*", same(F.col("wa"), F.col("wb")).alias("p"), same(F.reverse("wa"), F.reverse("wb")).alias("q"))
-    tail = F.least("q", F.least(F.size("wa"), F.size("wb")) - F.col("p"))
-    between = lambda w: F.length(F.array_join(F.slice(w, F.col("p") + 1, F.greatest(F.size(w) - F.col("p") - tail, F.lit(0))), " "))
-    # a word that goes takes a space with it
-    middle = F.greatest(between("wa"), between("wb")) + 1
-    near = F.when((F.size("wa") == F.size("wb")) & (change <= F.col("most")), True).when(middle <= F.col("most"), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
-    return both.where(F.col("longer") * 2 - F.length("ta") - F.length("tb") <= F.col("most")).where(near).select("a", "b")
+    both = both.withColumn("tail", F.least("q", F.least(F.size("wa"), F.size("wb")) - F.col("p")))
+    between = lambda w: F.array_join(F.slice(w, F.col("p") + 1, F.greatest(F.size(w) - F.col("p") - F.col("tail"), F.lit(0))), " ")
+    both = both.select("*", between("wa").alias("ma"), between("wb").alias("mb"))
+    # a word that goes takes a space with it; where nothing is left of one text, the lengths have decided
+    middle = F.greatest(F.length("ma"), F.length("mb")) + 1
+    near = F.when(middle <= F.col("most"), True).when((F.size("wa") == F.size("wb")) & (change <= F.col("most")), True).otherwise(F.expr("levenshtein(ma, mb, most) >= 0"))
+    # exploded, as a plain filter would move into the join with every column above written out wherever it is used
+    return both.select("a", "b", F.explode(F.array(near)).alias("near")).where("near").select("a", "b")
 
 
 def near_edges(kinds: DataFrame, docs: DataFrame) -> DataFrame:

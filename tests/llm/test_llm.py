@@ -462,6 +462,35 @@ def test_digits_count_in_lines(spark):
     assert h[0] == h[2] != h[1]
 
 
+def test_verified_pairs_are_those_of_the_edit_distance(spark):
+    g = random.Random(21)
+    some = lambda n: [g.choice(["a", "bb", "ccc", "dddd", "\u00e9\u00e8", "ffffffff"]) for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(150):
+        w = some(g.randint(4, 30))
+        i, v = g.randrange(len(w)), list(w)
+        v[i : i + g.randint(0, 4)] = some(g.randint(0, 4))
+        if g.random() < 0.5:
+            v[g.randrange(len(v) or 1) :][:1] = some(1)
+        v = v or some(1)
+        if v != w:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(w), " ".join(v)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    got = line_dedup._verified(spark.createDataFrame(pairs, "a long, b long"), rows)
+    near = {(a, b) for a, b in pairs if edits(texts[a], texts[b]) <= int(max(len(texts[a]), len(texts[b])) * 0.2 + 1e-9)}
+    assert {(r.a, r.b) for r in got.collect()} == near and 0 < len(near) < len(pairs)
+
+
+def test_lines_are_compared_without_repeated_work(spark):
+    """A text is split once, however often its words are used, and words of usual lines are counted in columns."""
+    pairs, texts = spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(1, "x y"), (2, "x z")], "h long, norm string")
+    plan = line_dedup._verified(pairs, texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 2
+    plan = line_dedup.simhash(spark.createDataFrame([(1, [1, 2])], "h long, x array<long>"), ["h"])._jdf.queryExecution().optimizedPlan()
+    assert "l0_0" in plan.toString() and "w126" in plan.toString()
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.line_hashes(docs_of(spark, ["a b c d"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
