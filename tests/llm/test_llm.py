@@ -672,6 +672,51 @@ def test_suffix_dedup(spark):
     assert [(r.n_removed, r.n_spans) for r in twice] == [(r.n_bytes, 1) for r in twice]
 
 
+def _suffix_buckets(spark, monkeypatch, texts):
+    """Rows of dedup() against brute force; the largest bucket that a task sorts."""
+    sizes, found = [0], suffix_dedup._found
+
+    def spy(kinds, tasks):
+        sizes.extend(r["count"] for r in kinds.groupBy("key").count().collect())
+        return found(kinds, tasks)
+
+    monkeypatch.setattr(suffix_dedup, "_found", spy)
+    got = {r.doc_id: r for r in suffix_dedup.dedup(docs_of(spark, texts)).collect()}
+    raw = [(t or "").encode() for t in texts]
+    for i, gaps in enumerate(brute_spans(raw, 400)):
+        kept = b"".join(raw[i][a:z] for a, z in zip([0, *(g[1] for g in gaps)], [*(g[0] for g in gaps), len(raw[i])], strict=True))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept) == (len(raw[i]), len(raw[i]) - len(kept), len(gaps), kept), i
+    return max(sizes)
+
+
+def test_suffix_dedup_splits_a_large_bucket(spark, monkeypatch):
+    g = random.Random(11)
+    rand = lambda n: "".join(g.choice("abcdefghij é\n") for _ in range(n))
+    passage = rand(450)
+    texts = [rand(g.randint(150, 250)) + passage + rand(g.randint(150, 250)) for _ in range(suffix_dedup.BUCKET + 50)]
+    assert _suffix_buckets(spark, monkeypatch, texts) <= suffix_dedup.BUCKET
+
+
+def test_suffix_dedup_splits_buckets_of_periodic_and_edited_texts(spark, monkeypatch):
+    g = random.Random(12)
+    rand = lambda n: "".join(g.choice("abcdefghij é\n") for _ in range(n))
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 3)
+    long, unit = rand(1500), rand(70)
+    texts = [None, "", rand(399), rand(900), long, long]
+    texts += [p * (g.randint(450, 900) // len(p)) + g.choice(["", rand(30)]) for p in ("q", "ab", "abcde", unit) for _ in range(6)]
+    for _ in range(12):  # near copies
+        k = g.randrange(len(long))
+        texts.append(long[:k] + "X" + long[k + 1 :])
+    texts += [rand(g.randint(0, 99)) + long[g.randint(0, 300) : g.randint(650, 1200)] + rand(g.randint(0, 99)) for _ in range(12)]
+    before, passage, after = rand(400), rand(450), rand(400)
+    texts += [rand(50) + before + passage + after + rand(50) for _ in range(2)]  # a context that occurs twice in a bucket that is split
+    texts += [rand(300) + passage + rand(300) for _ in range(6)]
+    assert _suffix_buckets(spark, monkeypatch, texts) <= 3
+    for few in (0, 1000):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        assert suffix_dedup.dedup(docs_of(spark, texts[:20])).count() == 20
+
+
 # 10: urls
 
 
